@@ -3,9 +3,9 @@
 Every different shingle set gets a signature of ``COORDINATES`` minima. A set is posted under each (coordinate, value) pair; pairs
 that one set alone holds are dropped. What is left is counted as in a prefix and skip merge: two sets that collide in ``MATCHES``
 coordinates meet in the shortest ``held - MATCHES + 1`` lists of each, so only those are joined (the prefix) and the long lists
-are skipped; for the pairs that meet, the signatures are compared whole (the probe). Within a list, members are paired with its
-smallest document only; lists whose members are still in different components afterwards go, whole, through an exact prefix
-join over the shingles themselves. All links are confirmed on full shingle sets.
+are skipped; for the pairs that meet, the signatures are compared whole (the probe). Of a list's members, the smallest is its head,
+and a document is paired first with the ``HEADS`` heads that it meets most often. Where members of a list are in different
+components afterwards, those that can have a partner at all are compared in blocks. All links are confirmed on full sets.
 
 A pair at similarity 0.75 collides in fewer than ``MATCHES`` of the 64 coordinates with a chance of about 2e-5; above it, less.
 """
@@ -26,6 +26,8 @@ from .flatbytes import LOWER, SPACE, Hasher, flat, mix, pieces, runs
 #: Words of a shingle; least similarity, in hundredths.
 WORDS, SIMILAR = 5, 75
 COORDINATES, MATCHES = 64, 33
+#: List heads that a document is paired with; documents of a block.
+HEADS, BLOCK = 2, 2048
 
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,29 +129,58 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
-def _exact(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of ``members`` (doc, comp) in different components that may be similar, by a prefix join over all their shingles.
+def _sharing(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``members`` (doc, comp) of whose shingles at least ``SIMILAR`` hundredths occur in another member, as (doc, comp, n).
 
-    Shingles are ordered by how many members have them. A set whose shingles are more than a quarter its own alone is similar to
-    no other; the rest meet in the rarest of what they share.
+    The others hold too much that is theirs alone to be similar to any member. Exact, and linear in the members' shingles.
     """
     sets = texts.join(members, "doc").select("doc", "comp", "text").mapInArrow(_shingles, "doc long, comp long, items array<long>")
     items = sets.select("doc", "comp", F.size("items").alias("n"), F.explode("items").alias("item"))
-    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    each = Window.partitionBy("doc")
-    shared = (
-        items.join(often, "item")
-        .withColumn("shared", F.count(F.lit(1)).over(each))
-        .where(f"100 * shared >= {SIMILAR} * n")
-        .withColumn("at", F.row_number().over(each.orderBy("df", "item")))
-        .where(f"n - shared + at <= n - ceil({SIMILAR} * n / 100) + 1")
-    )
-    shared = materialize(shared.select("doc", "comp", "n", "item"), "neardup-exact")
-    a, b = (shared.select("item", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "comp", "n"))) for side in "ab")
-    near = a.join(b, "item").where(
-        f"doc_a > doc_b and comp_a <> comp_b and 100 * n_a >= {SIMILAR} * n_b and 100 * n_b >= {SIMILAR} * n_a"
-    )
-    return near.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("item")
+    shared = items.join(often, "item", "left_semi").groupBy("doc").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("shared"))
+    return shared.where(f"100 * shared >= {SIMILAR} * n").select("doc", "comp", "n")
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Pairs of different components in a list that collide in ``MATCHES`` coordinates; a list comes whole or as two of its blocks."""
+    key, doc, comp, n, block = (table[c].to_numpy() for c in ("key", "doc", "comp", "n", "block"))
+    sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+    low, high = table["low"][0].as_py(), table["high"][0].as_py()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    order = np.argsort(key, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        left, right = rows[block[rows] == low], rows[block[rows] == high]
+        for at in range(0, len(left), 32):
+            a = left[at : at + 32]
+            fits = comp[a][:, None] != comp[right][None, :]
+            fits &= 100 * n[a][:, None] >= SIMILAR * n[right][None, :]
+            fits &= 100 * n[right][None, :] >= SIMILAR * n[a][:, None]
+            fits &= (doc[a][:, None] > doc[right][None, :]) | (low != high)
+            x, y = np.nonzero(fits)
+            for part in range(0, len(x), 1 << 15):
+                i, j = a[x[part : part + (1 << 15)]], right[y[part : part + (1 << 15)]]
+                same = (sig[i] == sig[j]).sum(1) >= MATCHES
+                found.append((doc[i[same]], doc[j[same]]))
+    a, b = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in (0, 1))
+    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def _across(rest: DataFrame, prefix: DataFrame, sig: DataFrame) -> DataFrame:
+    """Pairs of ``rest`` (doc, comp, n) in different components that meet in a list and collide often enough.
+
+    Lists go in blocks of ``BLOCK`` documents, each pair of blocks to a task; small lists share tasks. Pairs are compared in the
+    task, and only those that pass become rows.
+    """
+    held = prefix.join(rest, "doc")
+    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    sizes = sizes.where("x < y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    held = materialize(held.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "neardup-held")
+    groups = max(1, held.count() // BLOCK)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    held = held.select("*", other).select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    held = held.withColumn("group", F.pmod("key", F.lit(groups)))
+    held = held.join(sig.select(F.col("doc_id").alias("doc"), "sig").where("size(sig) > 0").dropDuplicates(["doc"]), "doc")
+    return held.groupBy("group", "low", "high").applyInArrow(_compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -178,7 +209,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = materialize(texts.join(prefix.select("doc").distinct(), "doc", "left_semi"), "neardup-texts")
 
     lists = prefix.groupBy("key").agg(F.min("doc").alias("b"), F.max("doc").alias("z")).where("b < z")
-    met = prefix.join(lists, "key").where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
+    met = prefix.join(lists, "key").where("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.count(F.lit(1)).alias("met"))
+    most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))
+    met = met.withColumn("at", most).where(f"at <= {HEADS}").select("a", "b")
     side = lambda c: sig.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     probed = met.join(side("a"), "a").where("n_a > 0").join(side("b"), "b")
     probed = probed.where(f"100 * n_a >= {SIMILAR} * n_b and 100 * n_b >= {SIMILAR} * n_a")
@@ -190,7 +223,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"))
     rest = materialize(members.join(apart.where("x < y and n > 2").select("key"), "key").select("doc", "comp").distinct(), "neardup-rest")
     if not rest.isEmpty():
-        more = materialize(_links(_exact(rest, texts), texts), "neardup-links")
+        rest = materialize(_sharing(rest, texts), "neardup-sharing")
+        more = materialize(_links(_across(rest, prefix, sig), texts), "neardup-links")
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
     labels = materialize(labels, "neardup-labels")
