@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from .plans import chunks, graphs, relations, retrieval  # noqa: F401  registration
+from .plans.base import ORACLES, QUERIES
+
+FLAGSHIP = "m14_hybrid_retrieval"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
