@@ -70,7 +70,10 @@ BULLETS = (
 
 def bullet_family(sections: Column) -> Column:
     """The family of heading marks that most sections bear, from 0, the first of the largest; -1 if none does."""
-    votes = [F.size(F.filter(sections, lambda s, f=f: s.rlike("|".join(f)))) for f in BULLETS]
+    def marked(family: tuple[str, ...]) -> Column:
+        return F.size(F.filter(sections, lambda s: s.rlike("|".join(family))))
+
+    votes = [marked(f) for f in BULLETS]
     best = F.greatest(*votes)
     pick = F.when(best == 0, -1)
     for i, v in enumerate(votes):

@@ -64,13 +64,13 @@ def t7_exchanges(t):
     return rows.groupBy("conv_id", "exchange").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("messages"), F.array_join(lines, "\n").alias("content"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i, 'part：' || l_partkey || '; supplier：' || l_suppkey || '; flag：' || l_returnflag AS line FROM lineitem)
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, 'part：' || l_partkey || '; supplier：' || l_suppkey || '; flag：' || l_returnflag AS line FROM lineitem)
 SELECT l_orderkey, CAST(i // 3 AS INTEGER) AS block, string_agg(line, ' | ' ORDER BY i) AS content FROM l GROUP BY l_orderkey, i // 3""")
 def s7_t10_row_blocks(t):
     """Rows as lines of 'column：value', joined three at a time."""
     rows = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("flag"))
     rows = row_lines(rows, ["part", "supplier", "flag"])
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1)
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "part", "supplier")) - 1)
     return ch.table_blocks(rows, ["l_orderkey"], "i", "line", 3, " | ")
 
 
@@ -85,7 +85,7 @@ def t12_question_answer_pairs(t):
 
 @query(r"""WITH v AS (SELECT 'o_orderkey' AS "column", CAST(o_orderkey AS VARCHAR) AS v FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT 'day', strftime(o_orderdate, '%Y-%m-%d') FROM orders),
 k AS (SELECT "column", CASE WHEN regexp_matches(v, '^[+-]?[0-9]{1,18}$') THEN 'int' WHEN regexp_matches(v, '^[+-]?[0-9]*\.[0-9]+$') THEN 'float' WHEN regexp_matches(v, '(?i)^(true|false|yes|no)$') THEN 'bool' WHEN regexp_matches(v, '^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}( [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$') THEN 'datetime' ELSE 'text' END AS kind FROM v WHERE trim(v) <> '')
-SELECT "column", kind, count(*) AS votes FROM k GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC) = 1""")
+SELECT "column", kind, votes FROM (SELECT "column", kind, count(*) AS votes FROM k GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY votes DESC) = 1""")
 def t14_a12_column_types(t):
     """The type that most values of each column look like."""
     rows = t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))

@@ -13,7 +13,10 @@ from ..operators import store
 from ..streaming.queue import heartbeats
 from .base import query
 
-_OK = F.count(F.lit(1))
+
+
+def _n():
+    return F.count(F.lit(1))
 
 
 @query("SELECT r_name, n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'O' GROUP BY ALL")
@@ -21,7 +24,7 @@ def j1_context_join(t):
     """Work rows with their owner, group and tenant: a four-way inner join."""
     o = t("orders").where("o_orderstatus = 'O'").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     o = o.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return o.groupBy("r_name", "n_name").agg(_OK.alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return o.groupBy("r_name", "n_name").agg(_n().alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("SELECT c_custkey, count(o_orderkey) AS orders, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY c_custkey")
@@ -48,7 +51,7 @@ def j4_permission_join(t):
 def j6_residual_join(t):
     """An equi-join with a further predicate of both sides."""
     on = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") > F.col("o_orderdate") + F.expr("INTERVAL 60 DAY"))
-    return t("lineitem").join(t("orders"), on).groupBy("o_orderpriority").agg(_OK.alias("late"))
+    return t("lineitem").join(t("orders"), on).groupBy("o_orderpriority").agg(_n().alias("late"))
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(lower(a.p_name), lower(b.p_name)) <= least(length(a.p_name), length(b.p_name)) // 2")
@@ -87,7 +90,7 @@ def j18_box_overlap(t):
 def a3_daily_usage(t):
     """Calls, users, sums and speed of each day."""
     e = t("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    return e.agg(_OK.alias("calls"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("tokens"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.sum("value") / (F.count(F.lit(1)) + 0.1), 6).alias("speed"))
+    return e.agg(_n().alias("calls"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("tokens"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.sum("value") / (F.count(F.lit(1)) + 0.1), 6).alias("speed"))
 
 
 @query("""SELECT user_id, round(avg(greatest(value, 0)), 6) AS progress, CASE WHEN bool_or(event_type = 'error') THEN 'FAIL' WHEN bool_and(event_type IN ('view', 'click')) THEN 'RUNNING' ELSE 'DONE' END AS status, bool_or(event_type = 'purchase') AS has_purchase, max(value) AS top, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS messages FROM events GROUP BY user_id""")
@@ -102,7 +105,7 @@ def a6_progress_rollup(t):
 def a2_terms_facet(t):
     """Documents per value of a multi-valued field, each value of a document once."""
     rows = t("documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word"))
-    return rows.groupBy("word").agg(_OK.alias("docs")).where("docs >= 5")
+    return rows.groupBy("word").agg(_n().alias("docs")).where("docs >= 5")
 
 
 @query("""WITH v AS (SELECT doc_id, (length(text) - length(replace(text, ' the ', ''))) // 5 AS en, (length(text) - length(replace(text, ' der ', ''))) // 5 AS de, (length(text) - length(replace(text, ' les ', ''))) // 5 AS fr, (length(text) - length(replace(text, ' que ', ''))) // 5 AS es FROM documents)
@@ -123,7 +126,7 @@ q AS (SELECT source AS qid, doc_id, quality + toxic AS rel FROM labels JOIN docu
 j AS (SELECT qid, doc_id, rank, coalesce(rel, 0) AS rel FROM run LEFT JOIN q USING (qid, doc_id) WHERE rank <= 10),
 p AS (SELECT *, sum((rel > 0)::INT) OVER (PARTITION BY qid ORDER BY rank) / rank AS prec FROM j),
 g AS (SELECT qid, sum((rel > 0)::INT) AS hits, min(CASE WHEN rel > 0 THEN rank END) AS first, sum(CASE WHEN rel > 0 THEN prec ELSE 0 END) AS precs, sum((2.0 ** rel - 1) / log2(rank + 1)) AS dcg FROM p GROUP BY qid),
-i AS (SELECT qid, count(*) AS relevant, sum(CASE WHEN at <= 10 THEN (2.0 ** rel - 1) / log2(at + 1) ELSE 0 END) AS idcg, sum(CASE WHEN at <= 10 THEN 2.0 ** rel - 1 ELSE 0 END) AS gains FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) AS at FROM q WHERE rel > 0) GROUP BY qid),
+i AS (SELECT qid, count(*) AS relevant, sum(CASE WHEN pos <= 10 THEN (2.0 ** rel - 1) / log2(pos + 1) ELSE 0 END) AS idcg, sum(CASE WHEN pos <= 10 THEN 2.0 ** rel - 1 ELSE 0 END) AS gains FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) AS pos FROM q WHERE rel > 0) GROUP BY qid),
 m AS (SELECT qid, coalesce(hits / relevant, 0) AS recall, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END AS hit, coalesce(1 / first, 0) AS mrr, coalesce(precs / least(relevant, 10), 0) AS ap, coalesce(dcg / idcg, 0) AS ndcg, coalesce(dcg / gains, 0) AS ndcg_flat FROM i LEFT JOIN g USING (qid))"""
 
 
@@ -179,10 +182,10 @@ def wn10_min_max(t):
     return s.rescale(t("documents").select("doc_id", "source", "n_chars"), "source", "n_chars", "x").select("doc_id", F.round("x", 9).alias("scaled"))
 
 
-@query("SELECT l_orderkey, l_linenumber, string_agg(CAST(l_partkey AS VARCHAR), ' ') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS context FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, string_agg(CAST(l_partkey AS VARCHAR), ' ') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS context FROM lineitem")
 def wn9_running_context(t):
     """Each row with what came before it in its group."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
     return t("lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.collect_list(F.col("l_partkey").cast("string")).over(w), " ").alias("context"))
 
 
@@ -231,9 +234,9 @@ def st5_heartbeats(t):
     return h.select("user_id", F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "beats", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
-@query("SELECT conv_id, string_agg(upper(s), ';' ORDER BY turn, role, i) AS done FROM (SELECT conv_id, turn, role, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS i FROM conversations WHERE turn = 0 AND role = 'user') GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(replace(s, 'e', 'E'), ';' ORDER BY turn, role, i) AS done FROM (SELECT conv_id, turn, role, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS i FROM conversations WHERE turn = 0 AND role = 'user') GROUP BY conv_id")
 def c7_iteration(t):
     """A text split, each piece worked, and the results joined again in order."""
     rows = t("conversations").where("turn = 0 and role = 'user'").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"\. ")).alias("i", "s"))
-    worked = rows.withColumn("s", F.upper("s"))
+    worked = rows.withColumn("s", F.replace(F.col("s"), F.lit("e"), F.lit("E")))
     return worked.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "i", "s"))), lambda r: r["s"]), ";").alias("done"))

@@ -75,7 +75,7 @@ b AS (SELECT item_id, doc_id, sum({_BM25}) AS bm FROM h GROUP BY ALL),
 m AS (SELECT item_id, doc_id, sum(raw) AS got FROM w JOIN p USING (term) GROUP BY ALL),
 x AS (SELECT item_id, doc_id, bm, got / (total + 1e-9) AS tok, min(bm) OVER (PARTITION BY item_id) AS lo, max(bm) OVER (PARTITION BY item_id) AS hi FROM b JOIN m USING (item_id, doc_id) JOIN tot USING (item_id)),
 y AS (SELECT item_id, doc_id, round(tok, 6) AS term_similarity, round(CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0 END, 6) AS text_similarity FROM x),
-z AS (SELECT *, round(0.7 * term_similarity + 0.3 * text_similarity, 6) AS similarity FROM y)"""
+z AS (SELECT *, round(0.7 * term_similarity + 0.3 * text_similarity, 7) AS similarity FROM y)"""
 
 
 def _hybrid(t):
@@ -85,7 +85,7 @@ def _hybrid(t):
     both = hits.groupBy("item_id", "doc_id").agg(F.sum(score).alias("bm"), F.sum("raw").alias("got")).join(total, "item_id")
     both = s.rescale(both, "item_id", "bm", "scaled")
     both = both.select("item_id", "doc_id", F.round(F.col("got") / (F.col("total") + 1e-9), 6).alias("term_similarity"), F.round("scaled", 6).alias("text_similarity"))
-    return both.withColumn("similarity", F.round(F.col("term_similarity") * 0.7 + F.col("text_similarity") * 0.3, 6))
+    return both.withColumn("similarity", F.round(F.col("term_similarity") * 0.7 + F.col("text_similarity") * 0.3, 7))
 
 
 @query(_SIM + " SELECT item_id, doc_id, term_similarity, text_similarity, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM z WHERE similarity >= 0.2 WINDOW w AS (PARTITION BY item_id ORDER BY similarity DESC, doc_id) QUALIFY row_number() OVER w <= 10")
