@@ -234,9 +234,9 @@ def st5_heartbeats(t):
     return h.select("user_id", F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "beats", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
-@query("SELECT conv_id, string_agg(replace(s, 'e', 'E'), ';' ORDER BY turn, role, i) AS done FROM (SELECT conv_id, turn, role, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS i FROM conversations WHERE turn = 0 AND role = 'user') GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(replace(s, 'e', 'E'), ';' ORDER BY turn, role, i) AS done FROM (SELECT conv_id, turn, role, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS i FROM conversations WHERE role = 'user') GROUP BY conv_id")
 def c7_iteration(t):
     """A text split, each piece worked, and the results joined again in order."""
-    rows = t("conversations").where("turn = 0 and role = 'user'").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"\. ")).alias("i", "s"))
+    rows = t("conversations").where("role = 'user'").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"\. ")).alias("i", "s"))
     worked = rows.withColumn("s", F.replace(F.col("s"), F.lit("e"), F.lit("E")))
     return worked.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "i", "s"))), lambda r: r["s"]), ";").alias("done"))

@@ -118,13 +118,13 @@ def m26_prompt_packing(t):
     return s.pack_budget(page.join(sized, "doc_id").select("item_id", "doc_id", "rank", "tokens"), "item_id", "rank", "tokens", 2000)
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label FROM embeddings WHERE vec_id % 100 = 0),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, v.vec_id, round(list_inner_product(qe::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_inner_product(qe::DOUBLE[], qe::DOUBLE[]) * list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS similarity FROM q JOIN embeddings v ON q.label = v.label AND query_id <> v.vec_id)
 SELECT query_id, vec_id, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WHERE similarity >= 0.1 WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, vec_id) QUALIFY row_number() OVER w <= 5""")
 def m4_dense_match(t):
     """Cosine neighbours within a filter (the label), with a floor."""
     v = t("embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), "label")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), "label")
     pairs = q.join(v, "label").where("query_id <> vec_id")
     pairs = pairs.select("query_id", "vec_id", F.round(vx.cosine(F.col("qe"), F.col("embedding")), 6).alias("similarity"))
     return s.top(pairs.where("similarity >= 0.1"), "query_id", 5, "similarity", "vec_id")

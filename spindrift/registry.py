@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import chunks, graphs, relations, retrieval  # noqa: F401  registration
+from .plans import chunks, enrich, graphs, relations, retrieval  # noqa: F401  registration
 from .plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "m14_hybrid_retrieval"
