@@ -93,8 +93,9 @@ def restore(token: str, model: np.ndarray) -> str:
         drop = DROPPED if len(choices) > 1 else 0.0
         following: dict = {}
         for (a, b), (cost, path) in states.items():
-            for text in choices:
-                x, y, total = a, b, cost if text else cost + drop
+            goes_on = c.isalpha() and i > 0 and b == symbol(c)  # a run that began as a sign, as in 0ooo
+            for text in (*choices, "") if goes_on else choices:
+                x, y, total = a, b, cost if text or goes_on else cost + drop
                 for d in text:
                     z = symbol(d)
                     total += table[x][y][z]
