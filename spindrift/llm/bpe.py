@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flatbytes import pieces
+from .flatbytes import pieces, small_batches
 
 #: Text bytes of a block; words that a worker remembers before it starts anew.
-BLOCK_BYTES, MEMO_WORDS = 4 << 20, 400_000
+BLOCK_BYTES, MEMO_WORDS = 2 << 20, 250_000
 _NONE = np.int64(1) << 62
 
 
@@ -40,21 +41,22 @@ class Ranks:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        tokens = [b""] * (max(self.rank.values()) + 1)
-        for token, r in self.rank.items():
+            rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        tokens = [b""] * (max(rank.values()) + 1)
+        for token, r in rank.items():
             tokens[r] = token
         self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.pool = np.frombuffer(b"".join(tokens), np.uint8)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int64)
-        splits = [
-            (self.rank[t[:i]] << 32 | self.rank[t[i:]], r)
-            for t, r in self.rank.items()
-            for i in range(1, len(t))
-            if t[:i] in self.rank and t[i:] in self.rank
-        ]
-        pairs = np.array(sorted(splits), np.int64).reshape(-1, 2)
+        self.byte = np.array([rank[bytes([i])] for i in range(256)], np.int64)
+        keys, merged = array("q"), array("q")
+        for t, r in rank.items():
+            for i in range(1, len(t)):
+                if t[:i] in rank and t[i:] in rank:
+                    keys.append(rank[t[:i]] << 32 | rank[t[i:]])
+                    merged.append(r)
+        pairs = np.stack([np.array(keys, np.int64), np.array(merged, np.int64)], 1)
+        pairs = pairs[np.argsort(pairs[:, 0])]
         self.pairs, self.merged = np.append(pairs[:, 0], _NONE), np.append(pairs[:, 1], _NONE)
         # A merge whose token takes part in no pair of lower rank can be made everywhere in a word at once.
         parts = np.concatenate([self.pairs[:-1] >> 32, self.pairs[:-1] & 0xFFFFFFFF])
@@ -139,7 +141,7 @@ def encode(docs: DataFrame, path: str, pat: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids binary")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -184,7 +186,7 @@ def digests(docs: DataFrame, path: str, pat: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def public_tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:

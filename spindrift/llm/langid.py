@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .flatbytes import LOWER, Hasher, flat, pieces, runs
+from .flatbytes import LOWER, Hasher, flat, pieces, runs, small_batches
 
 #: The model: hashed weights a label; the sample it is fitted on: documents a label, characters of a document, labels; passes.
 BUCKETS, SAMPLE, SAMPLE_CHARS, LABELS, PASSES = 1 << 18, 200, 6000, 64, 6
@@ -192,12 +192,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
     its score; ties go to the first label in order. ``und`` with score 0 if the text is null, empty or without a letter, or if
     nothing could be learned. The model is bounded by ``BUCKETS`` times ``LABELS`` weights, so it is broadcast.
     """
-    names = model[0]
+    names, docs = model[0], small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model[1:])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, moves = shared.value
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text"):
             n = batch.num_rows
             mean, votes = np.zeros((n, max(1, len(names)))), np.zeros((n, max(1, len(names))), np.int64)
             lettered = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..sources.scratch import materialize
-from .flatbytes import LOWER, SPACE, Hasher, flat, mix, pieces, runs
+from .flatbytes import LOWER, SPACE, Hasher, flat, mix, pieces, runs, small_batches
 
 #: Words of a shingle; least similarity, in hundredths.
 WORDS, SIMILAR = 5, 75
@@ -102,7 +102,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text_a", 1 << 20):
+    for batch in pieces(batches, "text_a"):
         left, right = shingle_sets(batch.column("text_a")), shingle_sets(batch.column("text_b"))
         keep = []
         for x, y in zip(left, right, strict=True):
@@ -190,6 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Equal sets are one vertex. Rows that share a doc_id are one document: each of their sets links it. An empty table gives an
     empty result. Long texts are read whole.
     """
+    docs = small_batches(docs)
     sig = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, _SIGNED), "neardup-sig")
     reps = sig.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .flatbytes import LOWER, SPACE, Hasher, flat, mix, pieces, runs
+from .flatbytes import LOWER, SPACE, Hasher, flat, mix, pieces, runs, small_batches
 
 #: Labelled documents that the classifier learns from, features that it keeps; a feature's log odds must lie
 #: above LEAST_ODDS by LEAST_Z deviations, so that words which are merely commoner in long texts stay out.
@@ -61,7 +61,7 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["gram", "n"])
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "gram int, n long")
+    counted = small_batches(docs).select(F.col("text").cast("string")).mapInArrow(run, "gram int, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -297,7 +297,7 @@ def score_documents(docs: DataFrame, language: np.ndarray, model: tuple[float, n
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
