@@ -66,20 +66,17 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"({same}) / ({held})")
 
 
-def _followers(keys: DataFrame) -> DataFrame:
+def _followers(ranged: DataFrame, firsts: list) -> DataFrame:
     """(kd, kh, nd, nh) for each (kd, kh): the key after it in order; after the last, the first.
 
-    Keys are range-partitioned and followed within their range; only each range's first key meets in one task.
+    Keys are followed within their range; of other ranges, only the first key matters.
     """
-    ranged = keys.select("kd", "kh").repartitionByRange("kd", "kh").withColumn("range", F.spark_partition_id())
-    ranged = materialize(ranged, "fingerprint-keys")
     w = Window.partitionBy("range").orderBy("kd", "kh")
     inner = ranged.withColumn("next", F.lead(F.struct("kd", "kh")).over(w))
-    firsts = ranged.groupBy("range").agg(F.min(F.struct("kd", "kh")).alias("first"))
-    after = F.lead("first").over(Window.orderBy("range"))
-    firsts = firsts.select("range", F.coalesce(after, F.min("first").over(Window.partitionBy())).alias("after"))
-    following = inner.join(firsts, "range").withColumn("next", F.coalesce("next", "after"))
-    return following.select("kd", "kh", F.col("next.kd").alias("nd"), F.col("next.kh").alias("nh"))
+    after = [(a["range"], b["kd"], b["kh"]) for a, b in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
+    after = ranged.sparkSession.createDataFrame(after, "range int, ad long, ah long")
+    following = inner.join(F.broadcast(after), "range")  # a row for each range
+    return following.select("kd", "kh", F.coalesce("next.kd", "ad").alias("nd"), F.coalesce("next.kh", "ah").alias("nh"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -89,39 +86,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     points replaced by the first as many of the next document in order of doc_id (after the last, the first). Null is the empty
     text, and all texts without words have one fingerprint. Rows without doc_id come first; rows that share a doc_id are documents
     in the order of their texts' hashes, and rows equal in both count once.
+
+    Texts are shuffled once, by ranges of doc_id whose bounds come from the keys; terms are counted and sampled where they are.
     """
+    spark, none = docs.sparkSession, F.lit(-(1 << 63))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("kd"), F.xxhash64(text).alias("kh"), "doc_id", text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("kd"), F.xxhash64(text).alias("kh"), text.alias("text"))
     sizes = materialize(rows.select("kd", "kh", F.length("text").alias("n"), F.octet_length("text").cast("long").alias("size")), "fingerprint-sizes")
-    keys = sizes.distinct()
-    links = materialize(_followers(keys), "fingerprint-links")
+    keys = sizes.select("kd", "kh", "n").distinct()
     total, n = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    repeats = n > links.count()
-    parts = max(-(-total // PARTITION_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    # Each document meets the key and length of the one before it, to which its head goes.
-    last = links.join(keys, ["kd", "kh"]).select(*(F.col(a).alias(b) for a, b in (("nd", "kd"), ("nh", "kh"), ("kd", "pd"), ("kh", "ph"), ("n", "pn"))))
-    held = rows.repartition(parts, "kd", "kh").join(last.repartition(parts, "kd", "kh"), ["kd", "kh"])
-    held = held.dropDuplicates(["kd", "kh"]) if repeats else held
-    heads = held.select(F.col("pd").alias("kd"), F.col("ph").alias("kh"), F.expr("substring(text, 1, pn div 2)").alias("head"))
-    both = held.select("kd", "kh", "doc_id", "text").join(heads.repartition(parts, "kd", "kh"), ["kd", "kh"])
-    both = both.withColumn("edited", F.expr("concat(substring(text, 1, length(text) - length(text) div 2), head)"))
-
+    parts = max(-(-total // PARTITION_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = keys.select("kd", "kh").repartitionByRange(2 * parts, "kd").withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged, "fingerprint-keys")
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("kd", "kh")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = sorted(firsts.select("range", "first.kd", "first.kh", "n").collect(), key=lambda r: r["kd"])  # a row for each range
+    links = materialize(_followers(ranged, firsts), "fingerprint-links")
+
+    bounds = F.split(F.lit(",".join(str(r["kd"]) for r in firsts) or "0"), ",").cast("array<long>")
+    bucket = F.size(F.filter(bounds, lambda b: b <= F.col("kd")))
+    held = rows.withColumn("bucket", bucket).repartition(parts, "bucket")
+    held = held.dropDuplicates(["bucket", "kd", "kh"]) if n > sum(r["n"] for r in firsts) else held
+    held = held.withColumn("after", F.lead("text").over(Window.partitionBy("bucket").orderBy("kd", "kh")))
+    opening = [(r["kd"], r["kh"], (i - 1) % len(firsts) + 1) for i, r in enumerate(firsts)]
+    opening = rows.join(F.broadcast(spark.createDataFrame(opening, "kd long, kh long, bucket int")), ["kd", "kh"])
+    both = held.join(opening.select("bucket", F.col("text").alias("opening")).dropDuplicates(["bucket"]), "bucket", "left")
+    both = both.withColumn("after", F.coalesce("after", "opening"))
+    both = both.withColumn("edited", F.expr("concat(substring(text, 1, length(text) - length(text) div 2), substring(after, 1, length(text) div 2))"))
+    both = both.select("bucket", "kd", "kh", "text", "edited", F.sha2("edited", 256).alias("sha"))
+    digest = [F.expr(f"cast(conv(substring(sha, {16 * i + 1}, 16), 16, -10) as bigint)").alias(f"s{i}") for i in range(4)]
+    both = both.select("bucket", "kd", "kh", *digest, "text", "edited")
+
+    carried = ["bucket", "kd", "kh", "s0", "s1", "s2", "s3"]
     marked = with_terms(with_terms(both, "text", "x", 0), "edited", "y", 1)
-    marked = marked.select("kd", "kh", F.explode(F.concat("x", "y")).alias("x"))
-    marked = marked.select("kd", "kh", F.col("x").bitwiseAND(F.lit(1)).alias("version"), F.shiftrightunsigned("x", 1).alias("term"))
-    weighted = marked.groupBy("kd", "kh", "version", "term").agg(F.count(F.lit(1)).alias("weight"))
-    found = samples(weighted, ["kd", "kh", "version"])
+    marked = marked.select(*carried, F.explode(F.concat("x", "y")).alias("x"))
+    marked = marked.select(*carried, F.col("x").bitwiseAND(F.lit(1)).alias("version"), F.shiftrightunsigned("x", 1).alias("term"))
+    weighted = marked.groupBy(*carried, "version", "term").agg(F.count(F.lit(1)).alias("weight"))
+    found = samples(weighted, [*carried, "version"])
     version = lambda v, name: F.max(F.when(F.col("version") == v, F.col("fingerprint"))).alias(name)
-    found = found.groupBy("kd", "kh").agg(version(0, "fingerprint"), version(1, "edited_fingerprint"))
-    found = materialize(found, "fingerprint-found")
-    told = both.select("kd", "kh", "doc_id", F.length("text").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"))
+    found = found.groupBy(*carried).agg(version(0, "fingerprint"), version(1, "edited_fingerprint"))
+    sha = F.concat(*(F.lpad(F.lower(F.hex(f"s{i}")), 16, "0") for i in range(4)))
+    found = materialize(found.select("kd", "kh", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint"), "fingerprint-found")
+
     following = found.select(F.col("kd").alias("nd"), F.col("kh").alias("nh"), F.col("fingerprint").alias("next_fingerprint"))
-    out = found.join(links, ["kd", "kh"]).join(following, ["nd", "nh"]).join(told, ["kd", "kh"])
+    following = links.join(following, ["nd", "nh"]).select("kd", "kh", "next_fingerprint")
+    out = found.join(following, ["kd", "kh"]).join(keys, ["kd", "kh"])
     return out.select(
-        "doc_id",
-        F.col("n_chars").cast("long").alias("n_chars"),
+        F.when(F.col("kd") != none, F.col("kd")).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+        F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
