@@ -27,7 +27,7 @@ from .flatbytes import LOWER, SPACE, Hasher, flat, mix, pieces, runs, small_batc
 WORDS, SIMILAR = 5, 75
 COORDINATES, MATCHES = 64, 33
 #: List heads that a document is paired with; documents of a block.
-HEADS, BLOCK = 2, 2048
+HEADS, BLOCK = 2, 512
 
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,44 +142,58 @@ def _sharing(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of different components in a list that collide in ``MATCHES`` coordinates; a list comes whole or as two of its blocks."""
-    key, doc, comp, n, block = (table[c].to_numpy() for c in ("key", "doc", "comp", "n", "block"))
+    """Links between documents of different components in a cluster, which comes whole or as two of its blocks.
+
+    Pairs that collide in ``MATCHES`` coordinates are confirmed on their full sets at once; a link makes its two components one, so
+    that the links found are a forest and no pair within a component is looked at.
+    """
+    cluster, doc, comp, n, block = (table[c].to_numpy() for c in ("cluster", "doc", "comp", "n", "block"))
     sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+    items = table["items"].combine_chunks()
+    at, items = items.offsets.to_numpy(), items.values.to_numpy().view(np.uint64)
     low, high = table["low"][0].as_py(), table["high"][0].as_py()
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    order = np.argsort(key, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+    found: list[tuple[int, int]] = []
+    order = np.argsort(cluster, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
         left, right = rows[block[rows] == low], rows[block[rows] == high]
-        for at in range(0, len(left), 32):
-            a = left[at : at + 32]
-            fits = comp[a][:, None] != comp[right][None, :]
-            fits &= 100 * n[a][:, None] >= SIMILAR * n[right][None, :]
-            fits &= 100 * n[right][None, :] >= SIMILAR * n[a][:, None]
-            fits &= (doc[a][:, None] > doc[right][None, :]) | (low != high)
-            x, y = np.nonzero(fits)
-            for part in range(0, len(x), 1 << 15):
-                i, j = a[x[part : part + (1 << 15)]], right[y[part : part + (1 << 15)]]
-                same = (sig[i] == sig[j]).sum(1) >= MATCHES
-                found.append((doc[i[same]], doc[j[same]]))
-    a, b = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in (0, 1))
+        label = comp[right].copy()
+        for i in left:
+            own = comp[i] if low != high else label[np.flatnonzero(right == i)[0]]
+            fits = (label != own) & (100 * n[i] >= SIMILAR * n[right]) & (100 * n[right] >= SIMILAR * n[i])
+            near = np.flatnonzero(fits)
+            near = near[(sig[right[near]] == sig[i]).sum(1) >= MATCHES]
+            mine = items[at[i] : at[i + 1]]
+            for k in near.tolist():
+                if label[k] == own:
+                    continue
+                j = right[k]
+                both = len(np.intersect1d(mine, items[at[j] : at[j + 1]], assume_unique=True))
+                if 100 * both >= SIMILAR * (n[i] + n[j] - both):
+                    found.append((int(doc[i]), int(doc[j])))
+                    label[label == label[k]] = own
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
     return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
 
-def _across(rest: DataFrame, prefix: DataFrame, sig: DataFrame) -> DataFrame:
-    """Pairs of ``rest`` (doc, comp, n) in different components that meet in a list and collide often enough.
+def _across(rest: DataFrame, prefix: DataFrame, sig: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among ``rest`` (doc, comp, n) that join components, between documents that meet in lists.
 
-    Lists go in blocks of ``BLOCK`` documents, each pair of blocks to a task; small lists share tasks. Pairs are compared in the
-    task, and only those that pass become rows.
+    Documents are clustered by the lists they meet in. A cluster goes in blocks of ``BLOCK`` documents, each pair of blocks to a
+    task; small clusters share tasks. Pairs are compared and confirmed in the task, and only links become rows.
     """
     held = prefix.join(rest, "doc")
-    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    sizes = sizes.where("x < y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    held = materialize(held.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "neardup-held")
-    groups = max(1, held.count() // BLOCK)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    held = held.select("*", other).select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    held = held.withColumn("group", F.pmod("key", F.lit(groups)))
+    lists = held.groupBy("key").agg(F.min("doc").alias("b"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    clusters = connected_components(held.join(lists, "key").select(F.col("doc").alias("a"), "b"))
+    clusters = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    held = rest.join(clusters, "doc").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    sets = texts.join(rest, "doc").select("doc", "comp", "text").mapInArrow(_shingles, "doc long, comp long, items array<long>")
+    held = held.join(sets.select("doc", "items").dropDuplicates(["doc"]), "doc")
     held = held.join(sig.select(F.col("doc_id").alias("doc"), "sig").where("size(sig) > 0").dropDuplicates(["doc"]), "doc")
+    groups = max(1, 4 * rest.count() // BLOCK)
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    held = held.withColumn("group", F.pmod("cluster", F.lit(groups))).drop("other", "blocks")
     return held.groupBy("group", "low", "high").applyInArrow(_compare, "a long, b long").distinct()
 
 
@@ -187,7 +201,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; further columns are not read).
 
     Null and empty texts have no shingles and stay alone, as do rows without doc_id, whose component_id is null and which are kept.
-    Equal sets are one vertex. Rows that share a doc_id are one document: each of their sets links it. An empty table gives an
+    Equal sets are one vertex. Rows that share a doc_id are one document, linked by any of its sets; where blocks are compared, one stands for it. An empty table gives an
     empty result. Long texts are read whole.
     """
     docs = small_batches(docs)
@@ -225,7 +239,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = materialize(members.join(apart.where("x < y and n > 2").select("key"), "key").select("doc", "comp").distinct(), "neardup-rest")
     if not rest.isEmpty():
         rest = materialize(_sharing(rest, texts), "neardup-sharing")
-        more = materialize(_links(_across(rest, prefix, sig), texts), "neardup-links")
+        more = materialize(_across(rest, prefix, sig, texts), "neardup-links")
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
     labels = materialize(labels, "neardup-labels")
