@@ -88,9 +88,9 @@ def scan(files: DataFrame, licence_name: str = r"(?i)^(licen[cs]e|copying|unlice
     name = F.regexp_extract(path, r"[^/]*$", 0)
     base = files.select("file_id", path.alias("path"), text.alias("text"), F.coalesce(name.rlike(licence_name), F.lit(False)).alias("licence_file"))
     base = base.withColumn("uid", F.xxhash64("file_id", "path", "text"))
-    low = F.lower("text")
-    some = base.where(_any(low, words))
-    lines = F.filter(F.split("text", r"\n"), lambda x: _any(F.lower(x), words))
+    anchored = f"(?i)(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])"  # one pass over a text, whatever the number of anchors
+    some = base.where(F.col("text").rlike(anchored))
+    lines = F.filter(F.split("text", r"\n"), lambda x: x.rlike(anchored))
     units = some.select("uid", F.array_distinct(F.concat(lines, F.when(F.col("licence_file"), F.array("text")).otherwise(F.array().cast("array<string>")))).alias("units"))
     units = units.dropDuplicates(["uid"]).select("uid", F.posexplode("units").alias("pos", "unit"))
     matched = match_units(units, ["uid", "pos"])
@@ -118,13 +118,6 @@ def scan(files: DataFrame, licence_name: str = r"(?i)^(licen[cs]e|copying|unlice
     )
 
 
-def _any(column, words: list[str]):
-    found = F.contains(column, F.lit(words[0]))
-    for w in words[1:]:
-        found = found | F.contains(column, F.lit(w))
-    return found
-
-
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
     """The documents table names no files, so paths are made from source and doc_id: every seventh document is its directory's licence
     file, every 49th that of the directory above, every 343rd that of the source."""
