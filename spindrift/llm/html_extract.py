@@ -3,7 +3,8 @@
 The pages of a host are merged into one tree of style nodes (the path of block elements with their classes). A node's composite
 importance joins the entropy of its presentation (the sequences of child elements that its pages show) with the mean entropy of
 the contents below it (the same text on every page: 0, another text on each: 1). Branches of low importance are cut from each page,
-with those whose element or class says that they are navigation, adverts, forms and the like; an article element is kept.
+inside its article as well, with those whose element or class says that they are navigation, adverts, forms and the like. A node
+that a host shows too seldom is judged by its path on all hosts.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .flatbytes import pieces, small_batches
 
-#: A branch below this importance goes; hosts with fewer pages show too little; weight of the contents below a node.
+#: A branch below this importance goes; nodes with fewer showings tell too little; weight of the contents below a node.
 LEAST, PAGES, BELOW = 0.2, 8, 0.9
 SALTS = 16
 
@@ -44,15 +46,17 @@ _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:main|article|post-?(?:body|content)|entry-?content|article-?body)(?:$|[\s_-])", re.I)
 
 
-def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str, str]]]:
+def blocks(page: str) -> tuple[list[tuple[str, bool, int, str]], list[tuple[str, str]]]:
     """The page's blocks in order as (path, noise, main, text), and its elements as (path, child elements).
 
+    ``main`` is the depth of the outermost article or main element around the block, 0 if there is none.
+
     Inline elements belong to their block; br is white space. Unclosed elements end where their parent does, and p, li, cells and
     the like also where the next begins.
     """
-    found: list[tuple[str, bool, bool, str]] = []
+    found: list[tuple[str, bool, int, str]] = []
     styles: list[tuple[str, str]] = []
-    stack: list[list] = [["", False, False, [], ""]]  # path, noise, main, children, tag
+    stack: list[list] = [["", False, 0, [], ""]]  # path, noise, main, children, tag
     text: list[str] = []
 
     def flush() -> None:
@@ -95,8 +99,10 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str
         label = f"{name}.{'.'.join(names.lower().split()[:2])}" if names else name
         path, noise, main, children, _ = stack[-1]
         children.append(label)
-        inside = main or name in ("article", "main") or bool(names and _MAIN_NAME.search(names))
-        noise = noise or name in _NOISE or bool(names and _NOISE_NAME.search(names) and name not in ("html", "body", "article", "main"))
+        called = name in ("article", "main") or bool(names and _MAIN_NAME.search(names))
+        inside = main or (len(stack) if called else 0)
+        whole = name in ("html", "body", "main") or name == "article" and bool(_MAIN_NAME.search(names))
+        noise = noise or name in _NOISE or bool(names and _NOISE_NAME.search(names) and not whole)
         noise = noise or not main and (name == "header" or bool(names and _HEADER_NAME.search(names) and name not in ("html", "body")))
         stack.append([f"{path}/{label}", noise, inside, [], name])
     if at < len(page):
@@ -113,7 +119,10 @@ def _paths(path: str) -> list[str]:
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, path, importance) of each style node of hosts with at least ``PAGES`` pages; pages: (host, html).
+    """(host, path, importance) of each style node that has text below it; pages: (host, html).
+
+    A node with fewer than ``PAGES`` showings on its host has the importance of its path on all hosts together, or 1 if there are
+    fewer even there.
 
     Presentation: -sum p log_m p over the node's different child sequences on its m showings. Contents: the same over the different
     texts of a leaf. Composite: (1 - BELOW) * presentation + BELOW * mean contents below. Only counts are shuffled; they are
@@ -139,17 +148,34 @@ def style_trees(pages: DataFrame) -> DataFrame:
             )
 
     shown = pages.mapInArrow(run, "host string, path string, kind string, value long, n long")
-    shown = shown.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    # written once: each of the branches below would parse all pages again
+    shown = materialize(shown.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n")), "style-trees")
+    nodes = shown.groupBy("host", "path", "kind").agg(*_entropy())
+    own = _importance(nodes, "host")
+    path = F.xxhash64("path").alias("node")
+    pooled = shown.groupBy(path, "kind", "value").agg(F.sum("n").alias("n")).groupBy("node", "kind").agg(*_entropy())
+    paths = nodes.select("path", "kind").distinct()
+    pooled = _importance(paths.select("path", path, "kind").join(pooled, ["node", "kind"])).where(F.col("pages") >= PAGES)
+    seldom = own.where(F.col("pages") < PAGES).select("host", "path").join(pooled.select("path", "importance"), "path", "left")
+    seldom = seldom.select("host", "path", F.coalesce("importance", F.lit(1.0)).alias("importance"))
+    return own.where(F.col("pages") >= PAGES).select("host", "path", "importance").unionByName(seldom)
+
+
+def _entropy() -> tuple[Column, Column]:
+    """Entropy h and showings m of a node from the counts n of what it shows."""
     spread = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
-    entropy = F.when(F.sum("n") > 1, spread / F.log(F.sum("n"))).otherwise(1.0)
-    nodes = shown.groupBy("host", "path", "kind").agg(entropy.alias("h"), F.sum("n").alias("m"))
-    own = nodes.where("kind = 'P'").select("host", "path", F.col("h").alias("presentation"), F.col("m").alias("pages"))
+    return F.when(F.sum("n") > 1, spread / F.log(F.sum("n"))).otherwise(1.0).alias("h"), F.sum("n").alias("m")
+
+
+def _importance(nodes: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., path, pages, importance) from the entropies of presentations (kind P) and contents (kind C)."""
+    own = nodes.where("kind = 'P'").select(*keys, "path", F.col("h").alias("presentation"), F.col("m").alias("pages"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    leaves = nodes.where("kind = 'C' and path <> ''").select("host", F.explode(above).alias("path"), "h", "m")
-    below = leaves.groupBy("host", "path").agg((F.sum(F.col("h") * F.col("m")) / F.sum("m")).alias("contents"))
-    both = own.where(F.col("pages") >= PAGES).join(below, ["host", "path"])
-    return both.select("host", "path", ((1 - BELOW) * F.col("presentation") + BELOW * F.col("contents")).alias("importance"))
+    leaves = nodes.where("kind = 'C' and path <> ''").select(*keys, F.explode(above).alias("path"), "h", "m")
+    below = leaves.groupBy(*keys, "path").agg((F.sum(F.col("h") * F.col("m")) / F.sum("m")).alias("contents"))
+    importance = (1 - BELOW) * F.col("presentation") + BELOW * F.col("contents")
+    return own.join(below, [*keys, "path"]).select(*keys, "path", "pages", importance.alias("importance"))
 
 
 def hash_text(text: str) -> int:
@@ -162,8 +188,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html; further columns are not read).
 
     A null or empty page has the empty text. The host is the url's authority; pages without a url are one host. If a page has an
-    article or main element, its blocks are the candidates and only named noise is cut inside it; else all blocks are, and the
-    host's style tree cuts as well. Repeated rows stay repeated.
+    article or main element, its blocks are the candidates, else all blocks are. Named noise and the style tree's branches of low
+    importance are cut from either; of an article, the branches are those below its element, and where they are all it has, as
+    on a host of copies of one page, it stays. Repeated rows stay repeated.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = small_batches(pages).select("page_id", "url", host.alias("host"), F.col("html").cast("string"))
@@ -176,11 +203,11 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for page, cut in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
                 found = [b for b in blocks(page or "")[0] if not b[1]]
-                if any(b[2] for b in found):
-                    found = [b for b in found if b[2]]
-                elif cut:
+                within = [b for b in found if b[2]]
+                found = within or found
+                if cut:
                     cut = set(cut)
-                    found = [b for b in found if not any(p in cut for p in _paths(b[0]))]
+                    found = [b for b in found if not any(p in cut for p in _paths(b[0])[b[2] :])] or within
                 texts.append("\n".join(b[3] for b in found))
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])

@@ -283,6 +283,17 @@ def test_style_tree_cuts_repeated_branches_of_pages_without_an_article(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"Story {i} of {i * 7}" for i in range(12)}
 
 
+def test_style_tree_cuts_inside_articles_and_on_small_hosts(spark):
+    def page(i):
+        notice = "<div class=box><p>Same words on each page</p></div>"
+        return f"<body><article><h1>Head {i}</h1>{notice}<p>Story {i} of {i * 7}</p></article><article class=related><p>Other {i}</p></article></body>"
+
+    rows = [(i, "http://big.x/p", page(i)) for i in range(12)] + [(i, f"http://h{i}.x/p", page(i)) for i in range(12, 16)]
+    rows += [(i, "http://copies.x/p", "<body><main class=only><p>One text</p></main></body>") for i in range(20, 30)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i}\nStory {i} of {i * 7}" for i in range(16)} | {i: "One text" for i in range(20, 30)}
+
+
 # op8
 
 
