@@ -1,9 +1,10 @@
 """Toxicity by a noisy channel: obfuscated words are restored under a character language model, then the restored text is scored.
 
 A token in disguise (digits or signs for letters, letters repeated or set apart by signs or spaces) opens a lattice: each sign
-may stand for one of its letters or for nothing, each run of a letter for one or two of it. Viterbi takes the likeliest path
-under a character trigram model that is counted over all texts. Plain tokens have one path and are taken as they are. The score
-is a naive Bayes sum over the words and word beginnings that labelled documents show to be significant.
+may stand for one of its letters or for nothing, each run of a letter for one or two of it, each gap between single characters
+for nothing or for the end of a word. Viterbi takes the likeliest path under a character trigram model that is counted over all
+texts. Plain tokens have one path and are taken as they are. The score is a naive Bayes sum over the words and word beginnings that
+labelled documents show to be significant.
 """
 
 from __future__ import annotations
@@ -75,29 +76,40 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest plain word behind a lower-case token, by Viterbi over its lattice; '' if nothing is left of it."""
+    """The likeliest plain words behind a lower-case token, by Viterbi over its lattice; '' if nothing is left of it.
+
+    A blank in the token is a gap between single characters, at which a word may end or go on. A letter beyond ASCII is a symbol
+    for each of its bytes, as in the model.
+    """
     table = model.tolist() if isinstance(model, np.ndarray) else model
     symbol = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27 if c >= "\x80" else 0
+    symbols = lambda text: [symbol(c) for c in text for _ in range(len(c.encode()))]
+    run_of = lambda x, n: [x] if n == 1 else [x, x + x]
     states = {(0, 0): (0.0, None)}
     i = 0
     while i < len(token):
         c, j = token[i], i + 1
-        while j < len(token) and token[j] == c:
-            j += 1
-        if c.isalpha():
-            choices = [c, c + c] if j - i > 1 else [c]
+        n, spaced = 1, False
+        while token[j : j + 1] == c or token[j : j + 2] == " " + c:
+            spaced = spaced or token[j] == " "
+            n, j = n + 1, j + (1 if token[j] == c else 2)
+        if c == " ":
+            choices = ["", " "]
+        elif c.isalpha():
+            choices = run_of(c, n)
+            if spaced:  # a word may end within the run
+                choices = choices + [f"{x} {y}" for x in run_of(c, n - 1) for y in run_of(c, n - 1)]
         else:
-            choices = [x for y in SUBSTITUTES.get(c, "") for x in ((y,) if j - i == 1 else (y, y + y))]
+            choices = [x for y in SUBSTITUTES.get(c, "") for x in run_of(y, n)]
             if not c.isdigit() or not choices:
                 choices.append("")
-        drop = DROPPED if len(choices) > 1 else 0.0
+        drop = DROPPED if len(choices) > 1 and c != " " else 0.0
         following: dict = {}
         for (a, b), (cost, path) in states.items():
             goes_on = c.isalpha() and i > 0 and b == symbol(c)  # a run that began as a sign, as in 0ooo
             for text in (*choices, "") if goes_on else choices:
                 x, y, total = a, b, cost if text or goes_on else cost + drop
-                for d in text:
-                    z = symbol(d)
+                for z in symbols(text):
                     total += table[x][y][z]
                     x, y = y, z
                 if (x, y) not in following or total > following[x, y][0]:
@@ -112,9 +124,12 @@ def restore(token: str, model: np.ndarray) -> str:
 
 
 class Tokens:
-    """The tokens of a text column: plain ones as stretches of ``data``, those in disguise as (row, token)."""
+    """The tokens of a text column: plain ones as stretches of ``data``, those in disguise as (row, token).
+
+    Three single characters or more in a row are one token in disguise, with blanks between them. Of restored texts all tokens are plain.
+    """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, restored: bool = False):
         self.raw, ends = flat(column)
         self.data = data = LOWER[self.raw]
         starts, stops = runs(~SPACE[data])
@@ -129,7 +144,8 @@ class Tokens:
         last = np.maximum.reduceat(np.where(_ALNUM[data], place, -1), starts) + 1
         has = last > 0
         starts, stops, row, first, last = starts[has], stops[has], row[has], first[has], last[has]
-        if not len(starts):
+        if restored or not len(starts):
+            self.row, self.starts, self.stops = row, first, last
             return
         letters = np.r_[0, np.cumsum(_LETTER[data])]
         thrice = np.zeros(len(data), bool)
@@ -141,13 +157,16 @@ class Tokens:
         after = data[np.minimum(last, len(data) - 1)]
         trail = (stops - last == 1) & _SIGN[after] & (after != ord("!"))
         odd = (inner > 0) & ((inner < last - first) | repeats | lead | trail)
-        single = (last - first == 1) & (stops - starts <= 2) & _ALNUM[data[first]] & (data[first] < 128)
+        raw = data.tobytes()
+        points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+        single = (points[last] - points[first] == 1) & ((stops - starts) - (last - first) <= 1)
+        for i in np.flatnonzero(single & (data[first] >= 128)):
+            single[i] = raw[first[i] : last[i]].decode("utf-8", "ignore").isalnum()  # no dash or the like
         follows = single & np.r_[False, single[:-1] & (row[1:] == row[:-1])]
         edge = np.diff(follows.astype(np.int8), prepend=0, append=0)
-        raw = data.tobytes()
         spaced = np.zeros(len(starts), bool)
         for lo, hi in zip(np.flatnonzero(edge == 1) - 1, np.flatnonzero(edge == -1), strict=True):
-            word = "".join(chr(data[first[i]]) for i in range(lo, hi))
+            word = " ".join(raw[first[i] : last[i]].decode("utf-8", "ignore") for i in range(lo, hi))
             if hi - lo >= 3 and any(c.isalpha() for c in word):
                 self.odd.append((int(row[lo]), word))
                 spaced[lo:hi] = True
@@ -180,7 +199,7 @@ def all_features(column: pa.Array, table: list):
             if word not in _memo:
                 _memo[word] = restore(word, table)
         rows = np.array([r for r, _ in tokens.odd])
-        again = Tokens(pa.array([" ".join(c for c in _memo[w].split()) for _, w in tokens.odd], pa.string()))
+        again = Tokens(pa.array([_memo[w] for _, w in tokens.odd], pa.string()), restored=True)
         for row, feature in again.features():
             yield rows[row], feature
 

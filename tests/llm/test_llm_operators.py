@@ -151,6 +151,15 @@ def test_toxicity_held_out_and_odd_rows(spark, odd, none):
     assert {r["predicted"] for r in toxicity.score_documents(docs, lm, blank).collect()} == {0}
 
 
+def test_spaced_words_end_where_the_model_says(spark, docs):
+    text = "you idiot and you are such a moron and a loser quel crétin du bist blöd " * 40
+    model = toxicity.language_model(docs.select("text").unionByName(spark.createDataFrame([(text,)], "text string")))
+    rows = [(1, "such a m o r o n"), (2, "y o u i d i o t"), (3, "quel c r é t i n"), (4, "du bist b l ö d"), (5, "a — b — c"), (6, "a l o o o s e r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["restored"] for r in toxicity.restored_words(df, model).collect()}
+    assert found == {1: "a moron", 2: "you idiot", 3: "crétin", 4: "blöd", 6: "a loser"}
+
+
 # op4
 
 
