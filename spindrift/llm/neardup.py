@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = prefix.groupBy("key").agg(F.min("doc").alias("b"), F.max("doc").alias("z")).where("b < z")
     met = prefix.join(lists, "key").where("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.count(F.lit(1)).alias("met"))
     most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))
-    met = met.withColumn("at", most).where(f"at <= {HEADS}").select("a", "b")
+    met = materialize(met.withColumn("at", most).where(f"at <= {HEADS}").select("a", "b"), "neardup-met")
     side = lambda c: sig.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     probed = met.join(side("a"), "a").where("n_a > 0").join(side("b"), "b")
     probed = probed.where(f"100 * n_a >= {SIMILAR} * n_b and 100 * n_b >= {SIMILAR} * n_a")
@@ -235,8 +235,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = connected_components(links)
 
     members = prefix.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-    apart = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"))
-    rest = materialize(members.join(apart.where("x < y and n > 2").select("key"), "key").select("doc", "comp").distinct(), "neardup-rest")
+    ends = F.max("doc").alias("a"), F.min("doc").alias("b")
+    apart = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"), *ends).where("x < y")
+    # two members need no more only if they were paired above
+    apart = apart.join(met.withColumn("paired", F.lit(True)), ["a", "b"], "left").where("n > 2 or paired is null")
+    rest = materialize(members.join(apart.select("key"), "key").select("doc", "comp").distinct(), "neardup-rest")
     if not rest.isEmpty():
         rest = materialize(_sharing(rest, texts), "neardup-sharing")
         more = materialize(_across(rest, prefix, sig, texts), "neardup-links")

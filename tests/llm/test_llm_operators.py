@@ -269,6 +269,14 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_two_that_no_head_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HEADS", 0)  # as if both had been paired with other heads
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:99], "other"])), (3, "quite another text of a few words")]
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 1, 3: 3}
+
+
 # op7
 
 
