@@ -1,24 +1,24 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A text's weighted terms are its words, each with the word before it, weighted by how often they occur. Terms are dealt to ``BINS``
-coordinates by their hash, and each coordinate samples one of its terms: a term draws r and c from Gamma(2, 1) and b from the
-uniform distribution by hashing; with t = floor(ln w / r + b), the term of least ln c - r * (t - b + 1) is sampled, and the
-coordinate is a hash of that term and its t. So two texts agree in a coordinate with the probability of the generalised Jaccard
-similarity (sum of least over sum of largest weights) of what they have there, and a term is drawn for once, not once per
-coordinate.
+A text's weighted terms are its words, each with the word before it, weighted by how often they occur. For each of ``COORDINATES``
+coordinates, every term draws r and c from Gamma(2, 1) and b from the uniform distribution by hashing; with t = floor(ln w / r + b), the
+term of least ln c - r * (t - b + 1) is sampled, and the coordinate is a hash of that term and its t. So two texts agree in a coordinate
+with the probability of their generalised Jaccard similarity: the sum of least over the sum of largest weights.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 
-#: Coordinates of a fingerprint; UTF-8 bytes of text in a partition, on average.
-BINS, PARTITION_BYTES = 64, 6 << 20
-EMPTY = "...."
+#: Coordinates of a fingerprint, and how many are drawn in a row; UTF-8 bytes of text in a partition and keys in a range, on average.
+COORDINATES, TOGETHER, PARTITION_BYTES, RANGE_ROWS = 64, 4, 4 << 20, 1_000_000
 _GAPS, _SPACES = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
+#: A document's key: whether it has a doc_id, its doc_id, and a hash of its text.
+KEY = ["has", "kd", "kh"]
 
 
 def with_terms(df: DataFrame, text: str, out: str, mark: int) -> DataFrame:
@@ -28,116 +28,122 @@ def with_terms(df: DataFrame, text: str, out: str, mark: int) -> DataFrame:
     return df.withColumn(out, F.zip_with("_words", F.concat(F.array(F.lit("")), "_words"), pair)).drop("_words")
 
 
-def samples(weighted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., fingerprint) from (keys..., term, weight): four hex digits for each coordinate, or ``EMPTY`` if no term is dealt to it.
+def gamma_quantiles(n: int = 4096) -> np.ndarray:
+    """The middle of each of n equally likely parts of the Gamma(2, 1) distribution, whose lower part is 1 - (1 + x) * exp(-x)."""
+    share = (np.arange(n) + 0.5) / n
+    low, high = np.zeros(n), np.full(n, 64.0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        below = 1 - (1 + middle) * np.exp(-middle) < share
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    return low
 
-    A coordinate's sample is the smallest of one long: the score in its upper half, a hash of the term and its t in the lower.
+
+def samples(weighted: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
+    """(keys..., one fingerprint for each of ``weights``) from (keys..., term, weights...): four hex digits for each coordinate.
+
+    A term draws once for a coordinate, whatever its weights: r and c come from the quantiles of the distribution, b has 40 bits. A null
+    weight takes no part. A coordinate's sample is the smallest of one long: the score in its upper half, a mark of the term and its t in
+    the lower. A fingerprint is null if nothing took part.
     """
-    low = F.lit(0xFFFFFFFF)
-    drawn = weighted.select(
-        *keys, "term", F.log("weight").alias("lw"), F.xxhash64("term", F.lit(1)).alias("h1"), F.xxhash64("term", F.lit(2)).alias("h2")
-    )
-    unit = lambda h, bits: (F.shiftrightunsigned(h, 64 - bits) + F.lit(0.5)) * F.lit(2.0**-bits)
-    rest = lambda h: (F.col(h).bitwiseAND(low) + F.lit(0.5)) * F.lit(2.0**-32)
-    drawn = drawn.select(
-        *keys,
-        "term",
-        "lw",
-        (-F.log(unit("h1", 32) * rest("h1"))).alias("r"),
-        F.log(-F.log(unit("h2", 32) * rest("h2"))).alias("c"),
-        unit(F.xxhash64("term", F.lit(3)), 40).alias("b"),
-    )
-    drawn = drawn.select(*keys, "term", "r", "c", "b", F.floor(F.col("lw") / F.col("r") + F.col("b")).alias("t"))
-    score = F.col("c") - F.col("r") * (F.col("t") - F.col("b") + 1.0)  # within -80 and 5
-    score = ((score + 100.0) * F.lit(float(1 << 23))).cast("long")
-    packed = F.shiftleft(score, 32).bitwiseOR(F.xxhash64("term", "t").bitwiseAND(low))
-    least = drawn.groupBy(*keys, F.col("term").bitwiseAND(F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.min(packed).alias("m"))
-    dealt = least.groupBy(*keys).agg(*(F.expr(f"max(case when bin = {k} then m & 65535 end) as m{k}") for k in range(BINS)))
-    digits = ", ".join(f"coalesce(lpad(hex(m{k}), 4, '0'), '{EMPTY}')" for k in range(BINS))
-    return dealt.select(*keys, F.expr(f"concat({digits})").alias("fingerprint"))
+    quantiles = gamma_quantiles()
+    table = lambda values: F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
+    shapes, logs_of_c, bits = table(quantiles), table(np.log(quantiles) + 100), len(quantiles).bit_length() - 1
+    pick = lambda h, at: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(len(quantiles) - 1)).cast("int")
+    logs = weighted.select(*keys, "term", *(F.log(F.col(w).cast("double")).alias(f"l_{w}") for w in weights))
+    # a few coordinates a row: their code stays short enough for the JVM to compile
+    logs = logs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COORDINATES // TOGETHER - 1))))
+
+    def sample(k: int, w: str) -> Column:
+        h = F.xxhash64("term", F.col("part") * TOGETHER + k)
+        r, c = F.get(shapes, pick(h, 0)), F.get(logs_of_c, pick(h, bits))
+        b = (F.shiftrightunsigned(h, 2 * bits) + F.lit(0.5)) * F.lit(2.0 ** (2 * bits - 64))
+        t = F.floor(F.col(f"l_{w}") / r + b)
+        score = ((c - r * (t - b + F.lit(1.0))) * F.lit(float(1 << 23))).cast("long")  # c was raised by 100, so it is above 0
+        mark = F.shiftrightunsigned(h, 2 * bits) + t  # the last bits of b, which hardly move the score
+        return F.min(F.shiftleft(score, 32).bitwiseOR(mark.bitwiseAND(F.lit(0xFFFF)))).alias(f"{w}_{k}")
+
+    least = logs.groupBy(*keys, "part").agg(*(sample(k, w) for w in weights for k in range(TOGETHER)))
+    digits = lambda w: F.concat(*(F.lpad(F.hex(F.col(f"{w}_{k}").bitwiseAND(F.lit(0xFFFF))), 4, "0") for k in range(TOGETHER)))
+    least = least.select(*keys, "part", *(digits(w).alias(w) for w in weights))
+    piece = lambda p, w: F.max(F.when(F.col("part") == p, F.col(w)))
+    return least.groupBy(*keys).agg(*(F.concat(*(piece(p, w) for p in range(COORDINATES // TOGETHER))).alias(w) for w in weights))
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of equal coordinates among those that either fingerprint has."""
-    part = "substring({}, {}, 4)"
-    pairs = [(part.format(a, 4 * k + 1), part.format(b, 4 * k + 1)) for k in range(BINS)]
-    same = " + ".join(f"int({x} = {y} and {x} <> '{EMPTY}')" for x, y in pairs)
-    held = " + ".join(f"int({x} <> '{EMPTY}' or {y} <> '{EMPTY}')" for x, y in pairs)
-    return F.expr(f"({same}) / ({held})")
+    """The share of equal coordinates."""
+    same = " + ".join(f"int(substring({a}, {4 * k + 1}, 4) = substring({b}, {4 * k + 1}, 4))" for k in range(COORDINATES))
+    return F.expr(f"({same}) / {COORDINATES}D")
 
 
-def _followers(ranged: DataFrame, firsts: list) -> DataFrame:
-    """(kd, kh, nd, nh) for each (kd, kh): the key after it in order; after the last, the first.
+def followers(keys: DataFrame, rows: int) -> DataFrame:
+    """``keys`` (KEY, further columns) with the struct ``next`` of the KEY after it in order; after the last, the first.
 
-    Keys are followed within their range; of other ranges, only the first key matters.
+    Keys are followed within ranges of them; of other ranges, only the first key matters, and one task orders those.
     """
-    w = Window.partitionBy("range").orderBy("kd", "kh")
-    inner = ranged.withColumn("next", F.lead(F.struct("kd", "kh")).over(w))
-    after = [(a["range"], b["kd"], b["kh"]) for a, b in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
-    after = ranged.sparkSession.createDataFrame(after, "range int, ad long, ah long")
-    following = inner.join(F.broadcast(after), "range")  # a row for each range
-    return following.select("kd", "kh", F.coalesce("next.kd", "ad").alias("nd"), F.coalesce("next.kh", "ah").alias("nh"))
+    ranged = keys.repartitionByRange(max(1, rows // RANGE_ROWS), *KEY).withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged, "fingerprint-keys")
+    firsts = ranged.groupBy("range").agg(F.min(F.struct(*KEY)).alias("first"))
+    after = F.coalesce(F.lead("first").over(Window.orderBy("range")), F.first("first").over(Window.orderBy("range")))
+    inner = ranged.withColumn("inner", F.lead(F.struct(*KEY)).over(Window.partitionBy("range").orderBy(*KEY)))
+    joined = inner.join(firsts.select("range", after.alias("after")), "range")
+    return joined.select(*keys.columns, F.coalesce("inner", "after").alias("next"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per document.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row for each row of ``docs``.
 
     ``docs`` needs doc_id and text; further columns are not read. A document's edited text has its last floor(n_chars / 2) code
     points replaced by the first as many of the next document in order of doc_id (after the last, the first). Null is the empty
     text, and all texts without words have one fingerprint. Rows without doc_id come first; rows that share a doc_id are documents
-    in the order of their texts' hashes, and rows equal in both count once.
+    in the order of their texts' hashes, and a row that repeats follows on itself. An empty table gives an empty result.
 
-    Texts are shuffled once, by ranges of doc_id whose bounds come from the keys; terms are counted and sampled where they are.
+    Keys alone are ordered. Texts are shuffled once by key, and the beginning that a document lends to the one before it once more.
     """
-    spark, none = docs.sparkSession, F.lit(-(1 << 63))
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("kd"), F.xxhash64(text).alias("kh"), text.alias("text"))
-    sizes = materialize(rows.select("kd", "kh", F.length("text").alias("n"), F.octet_length("text").cast("long").alias("size")), "fingerprint-sizes")
-    keys = sizes.select("kd", "kh", "n").distinct()
-    total, n = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    kd = F.col("doc_id").cast("long")
+    rows = docs.select(kd.isNotNull().cast("int").alias("has"), F.coalesce(kd, F.lit(0)).alias("kd"), F.xxhash64(text).alias("kh"), text.alias("text"))
+    keys = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("text")).alias("n"), F.max(F.octet_length("text")).alias("size"))
+    keys = materialize(keys, "fingerprint-sizes")
+    total, count, n = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    links = materialize(followers(keys, count), "fingerprint-links")
+
     parts = max(-(-total // PARTITION_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = keys.select("kd", "kh").repartitionByRange(2 * parts, "kd").withColumn("range", F.spark_partition_id())
-    ranged = materialize(ranged, "fingerprint-keys")
-    firsts = ranged.groupBy("range").agg(F.min(F.struct("kd", "kh")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = sorted(firsts.select("range", "first.kd", "first.kh", "n").collect(), key=lambda r: r["kd"])  # a row for each range
-    links = materialize(_followers(ranged, firsts), "fingerprint-links")
-
-    bounds = F.split(F.lit(",".join(str(r["kd"]) for r in firsts) or "0"), ",").cast("array<long>")
-    bucket = F.size(F.filter(bounds, lambda b: b <= F.col("kd")))
-    held = rows.withColumn("bucket", bucket).repartition(parts, "bucket")
-    held = held.dropDuplicates(["bucket", "kd", "kh"]) if n > sum(r["n"] for r in firsts) else held
-    held = held.withColumn("after", F.lead("text").over(Window.partitionBy("bucket").orderBy("kd", "kh")))
-    opening = [(r["kd"], r["kh"], (i - 1) % len(firsts) + 1) for i, r in enumerate(firsts)]
-    opening = rows.join(F.broadcast(spark.createDataFrame(opening, "kd long, kh long, bucket int")), ["kd", "kh"])
-    both = held.join(opening.select("bucket", F.col("text").alias("opening")).dropDuplicates(["bucket"]), "bucket", "left")
-    both = both.withColumn("after", F.coalesce("after", "opening"))
-    both = both.withColumn("edited", F.expr("concat(substring(text, 1, length(text) - length(text) div 2), substring(after, 1, length(text) div 2))"))
-    both = both.select("bucket", "kd", "kh", "text", "edited", F.sha2("edited", 256).alias("sha"))
-    digest = [F.expr(f"cast(conv(substring(sha, {16 * i + 1}, 16), 16, -10) as bigint)").alias(f"s{i}") for i in range(4)]
-    both = both.select("bucket", "kd", "kh", *digest, "text", "edited")
-
-    carried = ["bucket", "kd", "kh", "s0", "s1", "s2", "s3"]
+    held = rows.repartition(parts, *KEY)
+    held = held.dropDuplicates(KEY) if n > count else held
+    # who borrows from whom: the first of equal rows from the next text, the others from their own
+    lent = links.select("next.*", F.struct(*KEY).alias("to"), F.expr("int(n div 2)").alias("half"), F.lit(0).alias("again"))
+    if n > count:
+        lent = lent.unionByName(links.where("copies > 1").select(*KEY, F.struct(*KEY).alias("to"), F.expr("int(n div 2)").alias("half"), F.lit(1).alias("again")))
+    lent = held.join(lent, KEY).select("to.*", "again", F.expr("substring(text, 1, half)").alias("lent")).repartition(parts, *KEY)
+    both = held.join(lent, KEY).select(*KEY, "again", "text", F.expr("concat(substring(text, 1, length(text) - length(text) div 2), lent)").alias("edited"))
+
     marked = with_terms(with_terms(both, "text", "x", 0), "edited", "y", 1)
-    marked = marked.select(*carried, F.explode(F.concat("x", "y")).alias("x"))
-    marked = marked.select(*carried, F.col("x").bitwiseAND(F.lit(1)).alias("version"), F.shiftrightunsigned("x", 1).alias("term"))
-    weighted = marked.groupBy(*carried, "version", "term").agg(F.count(F.lit(1)).alias("weight"))
-    found = samples(weighted, [*carried, "version"])
-    version = lambda v, name: F.max(F.when(F.col("version") == v, F.col("fingerprint"))).alias(name)
-    found = found.groupBy(*carried).agg(version(0, "fingerprint"), version(1, "edited_fingerprint"))
-    sha = F.concat(*(F.lpad(F.lower(F.hex(f"s{i}")), 16, "0") for i in range(4)))
-    found = materialize(found.select("kd", "kh", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint"), "fingerprint-found")
-
-    following = found.select(F.col("kd").alias("nd"), F.col("kh").alias("nh"), F.col("fingerprint").alias("next_fingerprint"))
-    following = links.join(following, ["nd", "nh"]).select("kd", "kh", "next_fingerprint")
-    out = found.join(following, ["kd", "kh"]).join(keys, ["kd", "kh"])
+    marked = marked.select(*KEY, "again", F.explode(F.concat("x", "y")).alias("x"))
+    marked = marked.select(*KEY, "again", F.shiftrightunsigned("x", 1).alias("term"), F.col("x").bitwiseAND(F.lit(1)).alias("mark"))
+    weighted = marked.groupBy(*KEY, "again", "term").agg(F.sum("mark").alias("w1"), F.count(F.lit(1)).alias("w0"))
+    weighted = weighted.select(*KEY, "again", "term", F.expr("nullif(w0 - w1, 0)").alias("fingerprint"), F.expr("nullif(w1, 0)").alias("edited_fingerprint"))
+    found = samples(weighted, [*KEY, "again"], ["fingerprint", "edited_fingerprint"])
+    found = found.join(both.select(*KEY, "again", F.sha2("edited", 256).alias("edited_sha256")), [*KEY, "again"])
+    found = materialize(found, "fingerprint-found")
+
+    following = links.select(*KEY, "copies", "n", "next").join(
+        found.where("again = 0").select(*(F.col(c).alias(f"n_{c}") for c in KEY), F.col("fingerprint").alias("next_fingerprint")),
+        [F.col(f"next.{c}") == F.col(f"n_{c}") for c in KEY],
+    )
+    out = found.join(following.select(*KEY, "copies", "n", "next_fingerprint"), KEY)
+    times = F.when(F.col("again") == 1, F.col("copies") - 1).otherwise(F.lit(1)).cast("int")
+    out = out.withColumn("_", F.explode(F.array_repeat(F.lit(0), times)))
+    near = F.when(F.col("again") == 1, F.lit(1.0)).otherwise(likeness("fingerprint", "next_fingerprint"))
     return out.select(
-        F.when(F.col("kd") != none, F.col("kd")).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+        F.when(F.col("has") == 1, F.col("kd")).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        near.alias("near_next"),
     )
 
 
