@@ -1,15 +1,16 @@
-"""Byte-level BPE encoding and decoding by replaying the merges over all words of a block at once.
+"""Byte-level BPE encoding and decoding by replaying the merges over the words of the whole corpus.
 
-A task reads its texts in blocks and gathers the words that it hasn't met. The postings are one flat array of (rank of the token
-pair, position in a word): each sweep takes, in every word, the posting of lowest rank, merges there, drops the position that
-was merged away and looks up the ranks of the two touched neighbours alone. So each word sees its merges in rank order, a word
-is replayed once per block however often it occurs, and no shuffle is needed. Ids are joined by word and decoded from the ids.
+Texts are dealt to blocks by a hash. Each block gives its different words; these meet in one table of the corpus's words, in which every
+word is replayed once. A replay holds an inverted index from token pair to the word positions that bear it, takes the pairs in order of
+rank and, at each position, makes the merge and looks up the two touched neighbours alone. The ids go back by word to the blocks that
+have it, where they are laid along the texts. Decoding starts from the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -19,10 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flatbytes import pieces, small_batches
+from ..sources.scratch import materialize
+from .flatbytes import pieces
 
-#: Text bytes of a block; words that a worker remembers before it starts anew.
-BLOCK_BYTES, MEMO_WORDS = 2 << 20, 250_000
+#: Text bytes of a block, on average; bytes of words that are replayed together.
+BLOCK_BYTES, REPLAY_BYTES = 8 << 20, 1 << 20
 _NONE = np.int64(1) << 62
 
 
@@ -58,11 +60,7 @@ class Ranks:
         pairs = np.stack([np.array(keys, np.int64), np.array(merged, np.int64)], 1)
         pairs = pairs[np.argsort(pairs[:, 0])]
         self.pairs, self.merged = np.append(pairs[:, 0], _NONE), np.append(pairs[:, 1], _NONE)
-        # A merge whose token takes part in no pair of lower rank can be made everywhere in a word at once.
-        parts = np.concatenate([self.pairs[:-1] >> 32, self.pairs[:-1] & 0xFFFFFFFF])
-        lower = np.full(len(tokens), _NONE)
-        np.minimum.at(lower, parts, np.tile(self.merged[:-1], 2))
-        self.everywhere = lower > np.arange(len(tokens))
+        self.of_pair = dict(zip(self.pairs[:-1].tolist(), self.merged[:-1].tolist(), strict=True))
 
     @classmethod
     def load(cls, path: str) -> Ranks:
@@ -76,51 +74,66 @@ class Ranks:
         return np.where(self.pairs[at] == key, self.merged[at], _NONE)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit integers. No word may be empty."""
-        out: list[bytes] = [b""] * len(words)
+        """The ids of each word, as little-endian unsigned 32-bit integers. No word may be empty.
+
+        ``index`` leads from the rank of a pair to the positions that bear it, ``ranks`` is a heap of its keys. A merge can make a
+        pair of lower rank than its own; that one goes first, and the positions that are left wait in the index.
+        """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        which = np.arange(len(words))
-        ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        rank = np.full(len(ids), _NONE)
-        if len(ids) > 1:
-            rank[:-1] = self.lookup(ids[:-1], ids[1:])
-            rank[np.cumsum(sizes)[:-1] - 1] = _NONE
-        while len(which):
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            least = np.minimum.reduceat(rank, starts)
-            done = least == _NONE
-            if done.any():
-                whole = ids.astype("<u4").tobytes()
-                for w, s, e in zip(which[done].tolist(), starts[done].tolist(), ends[done].tolist(), strict=True):
-                    out[w] = whole[4 * s : 4 * e]
-                stay = np.repeat(~done, sizes)
-                ids, rank, which, sizes, least = ids[stay], rank[stay], which[~done], sizes[~done], least[~done]
-                if not len(which):
+        ends = np.cumsum(sizes)
+        flat = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full(len(flat), _NONE)
+        rank[:-1] = self.lookup(flat[:-1], flat[1:])
+        rank[ends - 1] = _NONE  # no pair leaves its word
+        ids, now, n = flat.tolist(), rank.tolist(), len(flat)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        for s, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            before[s], after[e - 1] = -1, -1
+        posted = np.flatnonzero(rank < _NONE)
+        posted = posted[np.argsort(rank[posted], kind="stable")]
+        kinds, cuts = np.unique(rank[posted], return_index=True)
+        index = {r: p.tolist() for r, p in zip(kinds.tolist(), np.split(posted, cuts[1:]), strict=False)}
+        ranks, of_pair = list(index), self.of_pair
+        heapq.heapify(ranks)
+
+        def post(at: int) -> int:
+            """Look up the pair that now begins at a position and post it; its rank."""
+            follow = after[at]
+            r = of_pair.get(ids[at] << 32 | ids[follow], _NONE) if follow >= 0 else _NONE
+            now[at] = r
+            if r < _NONE:
+                if r in index:
+                    index[r].append(at)
+                else:
+                    index[r] = [at]
+                    heapq.heappush(ranks, r)
+            return r
+
+        while ranks:
+            r = heapq.heappop(ranks)
+            places = sorted(index.pop(r))
+            for i, at in enumerate(places):
+                if now[at] != r:
+                    continue  # merged away, or another pair by now
+                gone = after[at]
+                ids[at], now[gone] = r, -1
+                after[at] = follow = after[gone]
+                if follow >= 0:
+                    before[follow] = at
+                low = post(at)
+                if before[at] >= 0:
+                    low = min(low, post(before[at]))
+                if low < r and i + 1 < len(places):
+                    if r not in index:
+                        index[r] = []
+                        heapq.heappush(ranks, r)
+                    index[r] += places[i + 1 :]
                     break
-                ends = np.cumsum(sizes)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            here = np.flatnonzero(rank == least[of])
-            word = of[here]
-            new = np.r_[True, (word[1:] != word[:-1])]
-            run = np.r_[True, here[1:] != here[:-1] + 1]  # a pair's last position is never a posting, so no run leaves its word
-            parity = (np.arange(len(here)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0
-            here = here[np.where(self.everywhere[least[word]], parity, new)]
-            gone = np.zeros(len(ids), bool)
-            gone[here + 1] = True
-            ids[here] = rank[here]
-            kept = ~gone
-            sizes = sizes - np.bincount(of[here], minlength=len(sizes))
-            at = (np.cumsum(kept) - 1)[here]
-            ids, rank = ids[kept], rank[kept]
-            last = np.zeros(len(ids), bool)
-            last[np.cumsum(sizes) - 1] = True
-            follow = np.where(last[at], at, at + 1)
-            rank[at] = np.where(last[at], _NONE, self.lookup(ids[at], ids[follow]))
-            before = at[at > 0] - 1
-            before = before[~last[before]]
-            rank[before] = self.lookup(ids[before], ids[before + 1])
-        return out
+        kept = np.array(now) != -1
+        left = np.add.reduceat(kept.astype(np.int64), ends - sizes) if n else sizes
+        whole = np.array(ids, np.int64)[kept].astype("<u4").tobytes()
+        stops = np.cumsum(left).tolist()
+        return [whole[4 * (e - k) : 4 * e] for e, k in zip(stops, left.tolist(), strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids.astype(np.int64)
@@ -130,18 +143,73 @@ class Ranks:
         return self.pool[shift + np.arange(len(shift))].tobytes()
 
 
-def encode(docs: DataFrame, path: str, pat: str) -> DataFrame:
-    """(doc_id, ids) for each row of ``docs`` (doc_id, text): the whole text's ids as little-endian 32-bit integers in a binary.
+def _words(text: str | None, split) -> list[str]:
+    return split(text) if text else []
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, block) in blocks of about ``BLOCK_BYTES``. Rows equal in both share a block."""
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_BYTES))
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+
+
+def corpus_words(rows: DataFrame, path: str, pat: str) -> DataFrame:
+    """(block, words, ids): the different words that each block of ``rows`` (text, block) has, packed with their ids, in rows of many.
 
-    A null is the empty text, whose ids are empty. ``path`` is a rank file that the executors can open, ``pat`` its split pattern.
+    Each word of the corpus is replayed once.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, ids, _ in _encoded(batches, path, pat):
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], ["doc_id", "ids"])
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(pattern(pat)).findall
+        for batch in pieces(batches, "text", 1 << 20):
+            seen: dict[int, set[str]] = {}
+            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                seen.setdefault(block, set()).update(_words(text, split))
+            block = np.repeat(list(seen), [len(s) for s in seen.values()]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array([w for s in seen.values() for w in s], pa.string())], ["block", "word"])
+
+    def replayed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = Ranks.load(path)
+        for batch in pieces(batches, "word", REPLAY_BYTES):
+            words = [w.encode() for w in batch.column("word").to_pylist()]
+            ids = ranks.replay(words) if words else []
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
+
+    met = materialize(rows.select("block", "text").mapInArrow(gather, "block int, word string").distinct(), "bpe-words")
+    ids = met.select("word").distinct().mapInArrow(replayed, "word string, ids binary")
+    return met.join(ids, "word").select("block", "word", "ids")
+
+
+def _laid(docs: DataFrame, path: str, pat: str, columns: list[pa.Field], make, schema: str) -> DataFrame:
+    """Each block's texts with its words' ids laid along them: ``make`` turns a text's ids into the columns after doc_id."""
+    rows = _blocks(docs)
+
+    def lay(texts: pa.Table, known: pa.Table) -> pa.Table:
+        split = regex.compile(pattern(pat)).findall
+        ids = dict(zip(known["word"].to_pylist(), known["ids"].to_pylist(), strict=True)).__getitem__
+        ranks = Ranks.load(path)
+        made: list[list] = [[] for _ in columns]
+        for text in texts["text"]:
+            for column, value in zip(made, make(b"".join(map(ids, _words(text.as_py(), split))), ranks), strict=True):
+                column.append(value)
+        return pa.table([texts["doc_id"], *(pa.array(c, f.type) for c, f in zip(made, columns, strict=True))], names=["doc_id", *(f.name for f in columns)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids binary")
+    words = corpus_words(rows, path, pat)
+    return rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(lay, f"doc_id {kind}, {schema}")
+
+
+def encode(docs: DataFrame, path: str, pat: str) -> DataFrame:
+    """(doc_id, ids) for each row of ``docs`` (doc_id, text; further columns are not read): the whole text's ids as little-endian 32-bit
+    integers in a binary.
+
+    A null is the empty text, whose ids are empty. Rows without doc_id and repeated rows are encoded like others. A text stands whole in
+    its block's task. ``path`` is a rank file that the executors can open, ``pat`` its split pattern.
+    """
+    return _laid(docs, path, pat, [pa.field("ids", pa.binary())], lambda ids, _: [ids], "ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -157,36 +225,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded binary")
 
 
-_memo: dict[tuple[str, str], dict[str, bytes]] = {}
-
-
-def _encoded(batches, path: str, pat: str):
-    ranks, split = Ranks.load(path), regex.compile(pattern(pat)).findall
-    memo = _memo.setdefault((path, pat), {})
-    for batch in pieces(batches, "text", BLOCK_BYTES):
-        rows = [split(x) if x else () for x in batch.column("text").to_pylist()]
-        fresh = set().union(*rows).difference(memo)
-        if len(memo) + len(fresh) > MEMO_WORDS:
-            memo.clear()
-            fresh = set().union(*rows)
-        fresh = list(fresh)
-        memo.update(zip(fresh, ranks.replay([w.encode() for w in fresh]) if fresh else (), strict=True))
-        yield batch.column("doc_id"), [b"".join(map(memo.__getitem__, row)) for row in rows], ranks
-
-
 def digests(docs: DataFrame, path: str, pat: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): what ``encode`` and ``decode`` give, as digests and in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): what ``encode`` and ``decode`` give, as digests and in one pass; rows as there."""
+    fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for doc_id, ids, ranks in _encoded(batches, path, pat):
-            back = [sha(ranks.decode(np.frombuffer(x, "<u4"))) for x in ids]
-            columns = [doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def make(ids: bytes, ranks: Ranks) -> list:
+        return [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(ranks.decode(np.frombuffer(ids, "<u4"))).hexdigest()]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return _laid(docs, path, pat, fields, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def public_tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
