@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 from .flatbytes import LOWER, SPACE, Hasher, flat, mix, pieces, runs, small_batches
 
-#: Labelled documents that the classifier learns from, features that it keeps; a feature's log odds must lie
-#: above LEAST_ODDS by LEAST_Z deviations, so that words which are merely commoner in long texts stay out.
-SAMPLE, FEATURES, LEAST_Z, LEAST_ODDS = 20_000, 4000, 2.2, 1.05
-#: Remembered restorations of a worker.
+#: Labelled documents that the classifier learns from; a feature's log odds must lie above LEAST_ODDS by LEAST_Z
+#: deviations, so that words which are merely commoner in long texts stay out.
+SAMPLE, LEAST_Z, LEAST_ODDS = 20_000, 2.2, 1.05
+#: Remembered restorations of a task.
 MEMO = 100_000
 #: What a sign can stand for.
 SUBSTITUTES = {
@@ -185,21 +185,18 @@ class Tokens:
             yield self.row[longer], mix(self.hasher(s, s + n) + np.uint64(n)) | np.uint64(1)
 
 
-_memo: dict[str, str] = {}
-
-
-def all_features(column: pa.Array, table: list):
-    """(row, feature) arrays of the whole restored texts."""
+def all_features(column: pa.Array, table: list, memo: dict[str, str]):
+    """(row, feature) arrays of the whole restored texts. ``memo`` holds restorations under this table, by the caller's task."""
     tokens = Tokens(column)
     yield from tokens.features()
     if tokens.odd:
-        if len(_memo) > MEMO:
-            _memo.clear()
+        if len(memo) > MEMO:
+            memo.clear()
         for _, word in tokens.odd:
-            if word not in _memo:
-                _memo[word] = restore(word, table)
+            if word not in memo:
+                memo[word] = restore(word, table)
         rows = np.array([r for r, _ in tokens.odd])
-        again = Tokens(pa.array([_memo[w] for _, w in tokens.odd], pa.string()), restored=True)
+        again = Tokens(pa.array([memo[w] for _, w in tokens.odd], pa.string()), restored=True)
         for row, feature in again.features():
             yield rows[row], feature
 
@@ -230,8 +227,8 @@ def hash_id(x) -> int:
 def fit(docs: DataFrame, labels: DataFrame, language: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """(prior, features, weights) from ``labels`` (doc_id, toxic), of which at most ``SAMPLE`` are taken, in hash order.
 
-    A kept feature's weight is one deviation less than its log odds.
-    The counts stay distributed; the ``FEATURES`` most significant come to the driver.
+    A kept feature's weight is one deviation less than its log odds. Of rows that share a labelled doc_id, the one with the first text
+    is learned from. The counts stay distributed; all significant features of the sample come to the driver.
     """
     few = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = few.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(SAMPLE)
@@ -253,10 +250,11 @@ def fit(docs: DataFrame, labels: DataFrame, language: np.ndarray) -> tuple[float
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), items], ["doc_id", "marks"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, str] = {}
         for batch in pieces(batches, "text"):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
             share = batch.column("share").to_numpy(zero_copy_only=False)
-            rows, features = zip(*all_features(batch.column("text"), table), strict=True)
+            rows, features = zip(*all_features(batch.column("text"), table, memo), strict=True)
             rows, features = np.concatenate(rows), np.concatenate(features)
             order = np.lexsort((features, rows))
             rows, features = rows[order], features[order]
@@ -267,9 +265,10 @@ def fit(docs: DataFrame, labels: DataFrame, language: np.ndarray) -> tuple[float
             a, n = np.bincount(of, share[rows] * toxic[rows], len(kinds)), np.bincount(of, share[rows], len(kinds))
             yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(a), pa.array(n)], ["feature", "a", "n"])
 
-    sample = materialize(docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic"), "toxicity-sample")  # at most SAMPLE labels
+    sample = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # at most SAMPLE rows
+    sample = materialize(sample, "toxicity-sample")
     id_kind = sample.schema["doc_id"].dataType.simpleString()
-    marks = sample.mapInArrow(sketch, f"doc_id {id_kind}, marks array<long>").limit(2 * SAMPLE).collect()
+    marks = sample.mapInArrow(sketch, f"doc_id {id_kind}, marks array<long>").orderBy("doc_id").collect()  # a row of SKETCH numbers for each sampled label
     if not marks:
         return -20.0, np.empty(0, np.uint64), np.empty(0)
     values, of, often = np.unique(np.array([r["marks"] for r in marks]), return_inverse=True, return_counts=True)
@@ -287,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, language: np.ndarray) -> tuple[float
     deviation = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (b + 0.5))
     kept = counts.select("feature", odds.alias("odds"), deviation.alias("sd")).where(F.col("odds") - LEAST_Z * F.col("sd") > LEAST_ODDS)
     kept = kept.where((F.col("feature") % 2 == 0) | (F.col("odds") > PREFIX_ODDS))
-    rows = kept.orderBy(F.desc(F.col("odds") - LEAST_Z * F.col("sd")), "feature").limit(FEATURES).collect()
+    rows = kept.collect()
     rows.sort(key=lambda r: r["feature"] % (1 << 64))
     features = np.array([r["feature"] for r in rows], np.int64).view(np.uint64)
     return math.log((na + 1) / (nb + 1)), features, np.array([r["odds"] - r["sd"] for r in rows])
@@ -302,9 +301,10 @@ def score_documents(docs: DataFrame, language: np.ndarray, model: tuple[float, n
     table = language.tolist()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, str] = {}
         for batch in pieces(batches, "text"):
             n, hits = batch.num_rows, []
-            for row, feature in all_features(batch.column("text"), table) if len(features) else ():
+            for row, feature in all_features(batch.column("text"), table, memo) if len(features) else ():
                 at = np.minimum(np.searchsorted(features, feature), len(features) - 1)
                 same = features[at] == feature
                 hits.append(row[same] * len(features) + at[same])
