@@ -11,14 +11,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .flatbytes import LOWER, Hasher, flat, pieces, runs, small_batches
+from .flatbytes import Hasher, flat, pieces, runs, small_batches
 
-#: The model: hashed weights a label; the sample it is fitted on: documents a label, characters of a document, labels; passes.
-BUCKETS, SAMPLE, SAMPLE_CHARS, LABELS, PASSES = 1 << 18, 200, 6000, 64, 6
+#: The model: hashed weights a label; the sample it is fitted on: documents a label, and of a document longer than so many characters
+#: the stretch of that length around its middle; passes.
+BUCKETS, SAMPLE, SAMPLE_CHARS, PASSES = 1 << 18, 200, 6000, 6
 STEP = 64  # words of a block of the chain
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
@@ -29,11 +31,7 @@ class Words:
     """The words of a text column: where they are, their row, and their hashed features."""
 
     def __init__(self, column: pa.Array):
-        data, ends = flat(column)
-        data = LOWER[data]
-        upper = np.zeros(len(data), bool)  # the two-byte capitals from U+00C0 to U+00DE
-        upper[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        data = np.where(upper, data + 32, data).astype(np.uint8)
+        data, ends = flat(pc.utf8_lower(column))
         inside = _LETTER[data]
         starts, stops = runs(inside)
         self.starts, self.stops = starts, stops
@@ -135,53 +133,63 @@ def chain(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray, pairs: bool
 
 
 def train(texts: list[str], labels: list[int], n_labels: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, transitions), by passes of scaled gradient steps over small groups of documents; words take their document's label."""
+    """(weights, transitions), by passes of scaled gradient steps over small groups of documents; words take their document's label.
+
+    In every second group, two neighbouring documents make one chain, so that transitions between labels are learned from too.
+    """
     weights, moves = np.zeros((BUCKETS, n_labels), np.float32), np.zeros((n_labels, n_labels))
     seen, seen_moves = np.full((BUCKETS, n_labels), 1e-6, np.float32), np.full((n_labels, n_labels), 1e-6)
     order = np.random.default_rng(11).permutation(len(texts))
     groups = [order[i : i + 40] for i in range(0, len(order), 40)]
     ready = [(Words(pa.array([texts[i] for i in g], pa.string())), np.array([labels[i] for i in g])) for g in groups]
     for _ in range(PASSES):
-        for words, gold in ready:
+        for nth, (words, gold) in enumerate(ready):
             if not len(words.starts):
                 continue
-            truth = gold[words.row]
-            post, expected = chain(words.scores(weights), words.counts, moves, pairs=True)
+            truth, counts = gold[words.row], words.counts
+            if nth % 2:
+                counts = np.add.reduceat(counts, np.arange(0, len(counts), 2))
+            post, expected = chain(words.scores(weights), counts, moves, pairs=True)
             delta = -post
             delta[np.arange(len(truth)), truth] += 1
-            gradient = np.zeros((BUCKETS, n_labels))
-            share = np.repeat(delta / words.size[:, None], words.size, axis=0)
-            for k in range(n_labels):
-                for f in words.features:
-                    gradient[:, k] += np.bincount(f, delta[:, k], BUCKETS)
-                gradient[:, k] += np.bincount(words.trigrams, share[:, k], BUCKETS)
-            gradient /= len(gold)
-            seen += gradient**2
-            weights += (0.3 * gradient / np.sqrt(seen)).astype(np.float32)
-            stayed = np.bincount(gold, np.maximum(words.counts - 1, 0), n_labels)
-            step = (np.diag(stayed) - expected) / len(gold)
+            # (bucket, word) pairs in order of bucket: a bucket's gradient is the sum over its stretch
+            bucket = np.concatenate([*words.features, words.trigrams])
+            of = np.concatenate([np.tile(np.arange(len(truth)), len(words.features)), np.repeat(np.arange(len(truth)), words.size)])
+            part = np.ones(len(bucket))
+            part[len(truth) * len(words.features) :] = np.repeat(1 / words.size, words.size)
+            by = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(bucket[by]) > 0])
+            gradient = np.add.reduceat(delta[of[by]] * part[by, None], first) / len(gold)
+            at = bucket[by][first]
+            seen[at] += gradient**2
+            weights[at] += (0.3 * gradient / np.sqrt(seen[at])).astype(np.float32)
+            inner = np.ones(len(truth), bool)
+            inner[(np.cumsum(counts) - counts)[counts > 0]] = False
+            inner = np.flatnonzero(inner)
+            made = np.bincount(truth[inner - 1] * n_labels + truth[inner], minlength=n_labels**2).reshape(n_labels, n_labels)
+            step = (made - expected) / len(gold)
             seen_moves += step**2
             moves = np.clip(moves + 0.1 * step / np.sqrt(seen_moves), -3, 3)
     return weights, moves
 
 
 def fit(docs: DataFrame, learn: Column) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Train on a bounded sample of the rows where ``learn`` holds, lang is given and the text has a letter.
+    """Train on a bounded sample of the rows where ``learn`` holds, lang and doc_id are given and the text has a letter.
 
-    The sample: of the ``LABELS`` labels with the most sampled documents, ``SAMPLE`` documents each in hash order, none above
-    ``SAMPLE_CHARS`` characters. Ids are chosen first; only the chosen whole texts come to the driver.
+    The sample: of every label, ``SAMPLE`` documents in hash order, those of at most ``SAMPLE_CHARS`` characters first; of a longer one,
+    the ``SAMPLE_CHARS`` characters around its middle. Rows are chosen by their keys first; only the chosen texts come to the driver.
+    Of rows that share doc_id and lang, the one with the first text counts.
     """
-    fine = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    fine = fine.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("langid"), "doc_id"), "doc_id"))
-    chosen = materialize(fine.select("doc_id", "lang").withColumn("at", rank).where(F.col("at") <= SAMPLE), "langid-sample")
-    known = chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS)
-    names = sorted(r["lang"] for r in known.collect())
+    fine = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(F.col("text").rlike(r"\p{L}"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64(F.lit("langid"), "doc_id"), "doc_id"))
+    keys = fine.groupBy("doc_id", "lang").agg(F.min(F.length("text") > SAMPLE_CHARS).alias("long"))
+    chosen = materialize(keys.withColumn("at", rank).where(F.col("at") <= SAMPLE).select("doc_id", "lang"), "langid-sample")
+    names = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0))
-    chosen = chosen.where(F.col("lang").isin(names)).select("doc_id", "lang")  # at most SAMPLE * LABELS rows
-    rows = fine.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").distinct()
-    rows = sorted(rows.limit(SAMPLE * len(names)).collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    cut = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(F.substring("text", ((F.length("text") - SAMPLE_CHARS) / 2 + 1).cast("int"), F.lit(SAMPLE_CHARS)))
+    rows = fine.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # SAMPLE rows a label
+    rows = sorted(rows.select("doc_id", "lang", cut.alias("text")).collect(), key=lambda r: (r["doc_id"], r["lang"]))
     return names, *train([r["text"] for r in rows], [names.index(r["lang"]) for r in rows], len(names))
 
 
@@ -190,14 +198,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
 
     ``word_langs`` counts the words by their most likely label. The document takes the label of largest mean probability, which is
     its score; ties go to the first label in order. ``und`` with score 0 if the text is null, empty or without a letter, or if
-    nothing could be learned. The model is bounded by ``BUCKETS`` times ``LABELS`` weights, so it is broadcast.
+    nothing could be learned. Repeated rows are predicted alike. The model is ``BUCKETS`` weights a label, so it is broadcast. A text
+    stands whole in a task, with some 80 bytes of working memory a byte.
     """
     names, docs = model[0], small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model[1:])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, moves = shared.value
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", (1 << 19) // max(1, (len(names) // 8) ** 2)):
             n = batch.num_rows
             mean, votes = np.zeros((n, max(1, len(names)))), np.zeros((n, max(1, len(names))), np.int64)
             lettered = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
