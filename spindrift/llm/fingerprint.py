@@ -8,7 +8,6 @@ with the probability of their generalised Jaccard similarity: the sum of least o
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,39 +27,29 @@ def with_terms(df: DataFrame, text: str, out: str, mark: int) -> DataFrame:
     return df.withColumn(out, F.zip_with("_words", F.concat(F.array(F.lit("")), "_words"), pair)).drop("_words")
 
 
-def gamma_quantiles(n: int = 4096) -> np.ndarray:
-    """The middle of each of n equally likely parts of the Gamma(2, 1) distribution, whose lower part is 1 - (1 + x) * exp(-x)."""
-    share = (np.arange(n) + 0.5) / n
-    low, high = np.zeros(n), np.full(n, 64.0)
-    for _ in range(60):
-        middle = (low + high) / 2
-        below = 1 - (1 + middle) * np.exp(-middle) < share
-        low, high = np.where(below, middle, low), np.where(below, high, middle)
-    return low
-
-
 def samples(weighted: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
     """(keys..., one fingerprint for each of ``weights``) from (keys..., term, weights...): four hex digits for each coordinate.
 
-    A term draws once for a coordinate, whatever its weights: r and c come from the quantiles of the distribution, b has 40 bits. A null
+    A term draws once for a coordinate, whatever its weights: r and c as minus the logarithm of a product of two uniform numbers. A null
     weight takes no part. A coordinate's sample is the smallest of one long: the score in its upper half, a mark of the term and its t in
     the lower. A fingerprint is null if nothing took part.
     """
-    quantiles = gamma_quantiles()
-    table = lambda values: F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
-    shapes, logs_of_c, bits = table(quantiles), table(np.log(quantiles) + 100), len(quantiles).bit_length() - 1
-    pick = lambda h, at: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(len(quantiles) - 1)).cast("int")
     logs = weighted.select(*keys, "term", *(F.log(F.col(w).cast("double")).alias(f"l_{w}") for w in weights))
     # a few coordinates a row: their code stays short enough for the JVM to compile
     logs = logs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COORDINATES // TOGETHER - 1))))
 
+    def unit(h: Column, at: int, bits: int) -> Column:
+        return F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)
+
     def sample(k: int, w: str) -> Column:
         h = F.xxhash64("term", F.col("part") * TOGETHER + k)
-        r, c = F.get(shapes, pick(h, 0)), F.get(logs_of_c, pick(h, bits))
-        b = (F.shiftrightunsigned(h, 2 * bits) + F.lit(0.5)) * F.lit(2.0 ** (2 * bits - 64))
+        g = F.xxhash64(h)
+        r = -F.log(unit(h, 32, 32) * unit(h, 0, 32) * F.lit(2.0**-64))
+        c = F.log(-F.log(unit(g, 42, 22) * unit(g, 20, 22) * F.lit(2.0**-44)))
+        b = unit(g, 0, 20) * F.lit(2.0**-20)
         t = F.floor(F.col(f"l_{w}") / r + b)
-        score = ((c - r * (t - b + F.lit(1.0))) * F.lit(float(1 << 23))).cast("long")  # c was raised by 100, so it is above 0
-        mark = F.shiftrightunsigned(h, 2 * bits) + t  # the last bits of b, which hardly move the score
+        score = ((c - r * (t - b + F.lit(1.0)) + F.lit(100.0)) * F.lit(float(1 << 23))).cast("long")  # the score lies between -80 and 5
+        mark = h.bitwiseAND(F.lit(0xFFFF)) + t  # bits that hardly move the score
         return F.min(F.shiftleft(score, 32).bitwiseOR(mark.bitwiseAND(F.lit(0xFFFF)))).alias(f"{w}_{k}")
 
     least = logs.groupBy(*keys, "part").agg(*(sample(k, w) for w in weights for k in range(TOGETHER)))
