@@ -1,9 +1,9 @@
-"""Byte-level BPE encoding and decoding by replaying the merges over the words of the whole corpus.
+"""Byte-level BPE encoding and decoding by replaying the merges over all words of a block at once.
 
-Texts are dealt to blocks by a hash. Each block gives its different words; these meet in one table of the corpus's words, in which every
-word is replayed once. A replay holds an inverted index from token pair to the word positions that bear it, takes the pairs in order of
-rank and, at each position, makes the merge and looks up the two touched neighbours alone. The ids go back by word to the blocks that
-have it, where they are laid along the texts. Decoding starts from the ids.
+A task reads its texts in blocks and gathers the words that it hasn't met. A replay holds an inverted index from token pair to the word
+positions that bear it, takes the pairs in order of rank and, at each position, makes the merge and looks up the two touched neighbours
+alone, so a word is replayed once per block however often it occurs, and nothing is shuffled. Ids are joined by word and decoded from the
+ids.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
 from .flatbytes import pieces
 
-#: Text bytes of a block, on average; bytes of words that are replayed together.
-BLOCK_BYTES, REPLAY_BYTES = 8 << 20, 1 << 20
+#: Text bytes of a block; words that a task remembers before it starts anew.
+BLOCK_BYTES, MEMO_WORDS = 2 << 20, 250_000
 _NONE = np.int64(1) << 62
 
 
@@ -143,73 +142,20 @@ class Ranks:
         return self.pool[shift + np.arange(len(shift))].tobytes()
 
 
-def _words(text: str | None, split) -> list[str]:
-    return split(text) if text else []
-
-
-def _blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, block) in blocks of about ``BLOCK_BYTES``. Rows equal in both share a block."""
-    text = F.col("text").cast("string")
-    rows = docs.select("doc_id", text.alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    blocks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK_BYTES))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-
-
-def corpus_words(rows: DataFrame, path: str, pat: str) -> DataFrame:
-    """(block, words, ids): the different words that each block of ``rows`` (text, block) has, packed with their ids, in rows of many.
-
-    Each word of the corpus is replayed once.
-    """
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern(pat)).findall
-        for batch in pieces(batches, "text", 1 << 20):
-            seen: dict[int, set[str]] = {}
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen.setdefault(block, set()).update(_words(text, split))
-            block = np.repeat(list(seen), [len(s) for s in seen.values()]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array([w for s in seen.values() for w in s], pa.string())], ["block", "word"])
-
-    def replayed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = Ranks.load(path)
-        for batch in pieces(batches, "word", REPLAY_BYTES):
-            words = [w.encode() for w in batch.column("word").to_pylist()]
-            ids = ranks.replay(words) if words else []
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
-
-    met = materialize(rows.select("block", "text").mapInArrow(gather, "block int, word string").distinct(), "bpe-words")
-    ids = met.select("word").distinct().mapInArrow(replayed, "word string, ids binary")
-    return met.join(ids, "word").select("block", "word", "ids")
-
-
-def _laid(docs: DataFrame, path: str, pat: str, columns: list[pa.Field], make, schema: str) -> DataFrame:
-    """Each block's texts with its words' ids laid along them: ``make`` turns a text's ids into the columns after doc_id."""
-    rows = _blocks(docs)
-
-    def lay(texts: pa.Table, known: pa.Table) -> pa.Table:
-        split = regex.compile(pattern(pat)).findall
-        ids = dict(zip(known["word"].to_pylist(), known["ids"].to_pylist(), strict=True)).__getitem__
-        ranks = Ranks.load(path)
-        made: list[list] = [[] for _ in columns]
-        for text in texts["text"]:
-            for column, value in zip(made, make(b"".join(map(ids, _words(text.as_py(), split))), ranks), strict=True):
-                column.append(value)
-        return pa.table([texts["doc_id"], *(pa.array(c, f.type) for c, f in zip(made, columns, strict=True))], names=["doc_id", *(f.name for f in columns)])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    words = corpus_words(rows, path, pat)
-    return rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(lay, f"doc_id {kind}, {schema}")
-
-
 def encode(docs: DataFrame, path: str, pat: str) -> DataFrame:
     """(doc_id, ids) for each row of ``docs`` (doc_id, text; further columns are not read): the whole text's ids as little-endian 32-bit
     integers in a binary.
 
     A null is the empty text, whose ids are empty. Rows without doc_id and repeated rows are encoded like others. A text stands whole in
-    its block's task. ``path`` is a rank file that the executors can open, ``pat`` its split pattern.
+    its task. ``path`` is a rank file that the executors can open, ``pat`` its split pattern.
     """
-    return _laid(docs, path, pat, [pa.field("ids", pa.binary())], lambda ids, _: [ids], "ids binary")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, ids, _ in _encoded(batches, path, pat):
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -225,14 +171,33 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded binary")
 
 
+def _encoded(batches, path: str, pat: str):
+    ranks, split = Ranks.load(path), regex.compile(pattern(pat)).findall
+    memo: dict[str, bytes] = {}
+    for batch in pieces(batches, "text", BLOCK_BYTES):
+        rows = [split(x) if x else () for x in batch.column("text").to_pylist()]
+        fresh = set().union(*rows).difference(memo)
+        if len(memo) + len(fresh) > MEMO_WORDS:
+            memo.clear()
+            fresh = set().union(*rows)
+        fresh = list(fresh)
+        memo.update(zip(fresh, ranks.replay([w.encode() for w in fresh]) if fresh else (), strict=True))
+        yield batch.column("doc_id"), [b"".join(map(memo.__getitem__, row)) for row in rows], ranks
+
+
 def digests(docs: DataFrame, path: str, pat: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what ``encode`` and ``decode`` give, as digests and in one pass; rows as there."""
-    fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
 
-    def make(ids: bytes, ranks: Ranks) -> list:
-        return [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(ranks.decode(np.frombuffer(ids, "<u4"))).hexdigest()]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for doc_id, ids, ranks in _encoded(batches, path, pat):
+            back = [sha(ranks.decode(np.frombuffer(x, "<u4"))) for x in ids]
+            columns = [doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _laid(docs, path, pat, fields, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def public_tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
