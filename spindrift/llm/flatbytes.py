@@ -7,7 +7,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
 #: Bytes that part words: x20 and x09 to x0D.
 SPACE = np.zeros(256, bool)
@@ -21,12 +20,6 @@ _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with its session's Arrow batches held to 500 rows, so that a Python worker holds little of a partition at once."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
-    return df
-
-
 def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes of text each; a longer text stands alone."""
     for batch in batches:

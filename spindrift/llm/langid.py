@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .flatbytes import Hasher, flat, pieces, runs, small_batches
+from .flatbytes import Hasher, flat, pieces, runs
 
 #: The model: hashed weights a label; the sample it is fitted on: documents a label, and of a document longer than so many characters
 #: the stretch of that length around its middle; passes.
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
     nothing could be learned. Repeated rows are predicted alike. The model is ``BUCKETS`` weights a label, so it is broadcast. A text
     stands whole in a task, with some 80 bytes of working memory a byte.
     """
-    names, docs = model[0], small_batches(docs)
+    names = model[0]
     shared = docs.sparkSession.sparkContext.broadcast(model[1:])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
