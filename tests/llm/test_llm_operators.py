@@ -218,7 +218,7 @@ def test_bpe_of_a_long_word_and_many_blocks(spark, monkeypatch):
     word = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 20))
     assert bpe.Ranks.load(path).decode(np.frombuffer(bpe.Ranks.load(path).replay([word.encode()])[0], "<u4")).decode() == word
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 300)
-    monkeypatch.setattr(bpe, "REPLAY_BYTES", 50)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
     rows = [(i, " ".join(random.choices(["tokens", "of", word[i : i + 9], word[7:2000]], k=12))) for i in range(40)]
     got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, pat).collect()}
     assert got == {i: library.encode_ordinary(t) for i, t in rows}
