@@ -34,3 +34,39 @@ def test_mixing_repeats_and_cuts_by_words(spark):
     words = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.size(F.expr("filter(split(text, ' '), x -> x <> '')"))).alias("n")).collect()}
     assert words["a"] == 120 and out.columns == docs.columns
     assert out.where("source = 'a'").count() == 12
+
+
+ODD = [
+    (1, None, "en", "a", 0, "x"),
+    (2, "", "en", None, 0, "x"),
+    (3, "the and of that thing with the and of that thing", "en", "a", 0, "x"),
+    (3, "the and of that thing with the and of that thing", "en", "a", 0, "x"),
+    (3, "another text with the same id and of that thing", "en", "a", 0, "x"),
+    (None, "the text without an id and of that with the thing", "en", "a", 0, None),
+    (None, "the text without an id and of that with the thing", "en", "a", 0, None),
+    (4, "the long and of " * 20000, "en", None, 0, "x"),
+]
+
+
+@pytest.mark.parametrize("name, stage", pipeline.STAGES)
+def test_stages_on_odd_rows_and_clashing_columns(spark, name, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string"
+    odd, none = spark.createDataFrame(ODD, schema), spark.createDataFrame([], schema)
+    odd = odd.withColumn("key", F.lit("k")).withColumn("taken", F.lit(7))
+    rows = stage(spark, odd, SF).collect()
+    assert stage(spark, none, SF).count() == 0
+    if name == "tokens":
+        assert len(rows) == len(ODD)
+        return
+    ids = sorted((r["doc_id"] or 0) for r in rows)
+    assert ids == {"language": [0, 0, 3, 3, 3, 4], "toxicity": [0, 0, 1, 2, 3, 3, 3, 4], "near-duplicates": [0, 1, 2, 3, 4], "mixing": ids}[name]
+    if name == "mixing":
+        assert {0, 3, 4} == set(ids)
+
+
+def test_toxicity_is_the_same_before_and_after_the_pipeline(spark):
+    from spindrift.llm import toxicity
+
+    before = sorted(map(tuple, toxicity.op3_toxicity(spark, SF).collect()))
+    pipeline.clean(spark, spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0"), SF).count()
+    assert sorted(map(tuple, toxicity.op3_toxicity(spark, SF).collect())) == before
