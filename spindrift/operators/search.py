@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..functions.vectors import cosine
+from ..sources.scratch import materialize
 
 
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
@@ -25,11 +27,20 @@ def corpus_stats(chunks: DataFrame, key: str, text: str) -> DataFrame:
     return sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
 
 
-def query_terms(queries: DataFrame, key: str, text: str, df: DataFrame, most: int = 8) -> DataFrame:
-    """(key, term, df): the ``most`` rarest of a query's words that the corpus has; ties go to the first in order."""
-    terms = queries.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).join(df, "term")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("df", "term"))
-    return terms.withColumn("at", rank).where(F.col("at") <= most).select(key, "term", "df")
+def query_hits(queries: DataFrame, query: str, query_text: str, chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """(query, key, term, tf, dl, df, terms, n, avgdl): every word of a query in every chunk that has it.
+
+    ``terms`` counts a query's different words that the corpus has, ``n`` and ``avgdl`` are the corpus's. Only postings of words that
+    some query has are kept; they are written once, and document frequencies come from them.
+    """
+    asked = queries.select(query, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+    words = chunks.select(key, tokens(F.col(text)).alias("w"))
+    held = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    held = materialize(held.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "search-postings")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = asked.join(df, "term").withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy(query)))
+    one = F.broadcast(corpus_stats(chunks, key, text))  # one row
+    return terms.join(held, "term").join(one, F.lit(True))
 
 
 def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1: float = 1.2, b: float = 0.75) -> Column:
@@ -48,6 +59,20 @@ def match(found: DataFrame, query: str, chunk: str, score: Column, least_share:
     return summed.where(F.col("matched") >= F.floor(F.col("terms") * least_share)).drop("terms")
 
 
+def hybrid_similarity(scored: DataFrame, query: str, terms: str, a: str, b: str, weight: float = 0.3) -> DataFrame:
+    """``scored`` with vector_similarity (cosine of the vectors ``a`` and ``b``, 0 where one is missing) and similarity: ``weight`` of it
+    and the rest of ``terms``; a query none of whose rows has a vector similarity goes by its terms alone."""
+    near = scored.withColumn("vector_similarity", F.coalesce(cosine(F.col(a), F.col(b)), F.lit(0.0)))
+    any_near = near.groupBy(query).agg(F.sum(F.abs("vector_similarity")).alias("_near"))
+    mixed = F.col("vector_similarity") * weight + F.col(terms) * (1 - weight)
+    return near.join(any_near, query).withColumn("similarity", F.when(F.col("_near") == 0, F.col(terms)).otherwise(mixed)).drop("_near", a, b)
+
+
+def rerank_window(page_size: int, limit: int = 64) -> int:
+    """How many first hits are ranked anew: about ``limit``, as whole pages."""
+    return max(page_size, -(-limit // page_size) * page_size) if page_size > 1 else limit
+
+
 def top(scored: DataFrame, query: str, k: int, score: str = "score", tie: str = "doc_id", page: int = 1) -> DataFrame:
     """A page of each query's rows by falling score, with their rank from 1; ties go to the smaller ``tie``."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), tie))
@@ -56,9 +81,9 @@ def top(scored: DataFrame, query: str, k: int, score: str = "score", tie: str =
 
 def rescale(scored: DataFrame, query: str, score: str, name: str) -> DataFrame:
     """Scores from 0 to 1 within each query; 0 where they don't differ."""
-    w = Window.partitionBy(query)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return scored.withColumn(name, F.when(high > low, (F.col(score) - low) / (high - low)).otherwise(0.0))
+    ends = scored.groupBy(query).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    scaled = F.when(F.col("_high") > F.col("_low"), (F.col(score) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    return scored.join(ends, query).withColumn(name, scaled).drop("_low", "_high")
 
 
 def facets(hits: DataFrame, query: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +55,8 @@ def update(rows: DataFrame, wanted: Mapping[str, object], assign: Mapping[str, o
 
 
 class ChunkStore:
-    """Named tables of a catalog database; writes replace the table by a new version."""
+    """Named indexes of a catalog database. An index is a view of its newest version: a write makes a new table and then points the view
+    to it in one step, so that readers see the old rows or the new ones, and a failed write leaves the old."""
 
     def __init__(self, spark: SparkSession, database: str = "default"):
         self.spark, self.database = spark, database
@@ -65,22 +67,28 @@ class ChunkStore:
     def exists(self, index: str) -> bool:
         return self.spark.catalog.tableExists(self.name(index))
 
+    def versions(self, index: str) -> list[str]:
+        return [r["tableName"] for r in self.spark.sql(f"SHOW TABLES IN `{self.database}` LIKE '{index}__v_*'").collect()]
+
     def create(self, index: str, rows: DataFrame, partition: str | None = None) -> None:
-        writer = rows.write.mode("overwrite").format("parquet")
-        (writer.partitionBy(partition) if partition else writer).saveAsTable(self.name(index))
+        """Write ``rows``, which may read the index, as its new version; older versions go afterwards."""
+        old, fresh = self.versions(index), f"{index}__v_{uuid.uuid4().hex}"
+        writer = rows.write.format("parquet")
+        (writer.partitionBy(partition) if partition else writer).saveAsTable(self.name(fresh))
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self.name(index)} AS SELECT * FROM {self.name(fresh)}")
+        for version in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(version)}")
 
     def drop(self, index: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name(index)}")
+        self.spark.sql(f"DROP VIEW IF EXISTS {self.name(index)}")
+        for version in self.versions(index):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(version)}")
 
     def read(self, index: str) -> DataFrame:
         return self.spark.table(self.name(index))
 
     def replace(self, index: str, rows: DataFrame) -> None:
-        """Write ``rows``, which may read the index, under a new name and swap it in."""
-        fresh = f"{index}__next"
-        self.create(fresh, rows)
-        self.drop(index)
-        self.spark.sql(f"ALTER TABLE {self.name(fresh)} RENAME TO {self.name(index)}")
+        self.create(index, rows)
 
     def upsert(self, index: str, rows: DataFrame, key: str = "id") -> None:
         self.replace(index, upsert(self.read(index), rows, key)) if self.exists(index) else self.create(index, rows.dropDuplicates([key]))

@@ -38,8 +38,8 @@ def m27_fit_messages(t):
     return m.where("back = 1 or used <= 300").select("conv_id", "turn", "role", "tokens", "used")
 
 
-_GRAPH = """e AS (SELECT 'n' || c_nationkey AS src, 'w' || (c_custkey % 40) AS tgt, sum(c_acctbal) AS weight FROM customer GROUP BY ALL), u AS (SELECT src, tgt FROM e UNION ALL SELECT tgt, src FROM e),
-d AS (SELECT src AS id, count(*) AS degree FROM u GROUP BY src), st AS (SELECT id AS start, round(degree / 40.0, 6) AS sim FROM d WHERE id LIKE 'n%'),
+_GRAPH = """e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS tgt, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL), u AS (SELECT src, tgt FROM e UNION ALL SELECT tgt, src FROM e),
+d AS (SELECT src AS id, count(*) AS degree FROM u GROUP BY src), st AS (SELECT id AS start, round(degree / 1000.0, 6) AS sim FROM d WHERE id LIKE 's%'),
 p1 AS (SELECT start, sim, start AS a, tgt AS b FROM st JOIN u ON start = src), p2 AS (SELECT start, sim, p1.b AS a, u.tgt AS b FROM p1 JOIN u ON p1.b = u.src WHERE u.tgt <> start),
 s AS (SELECT least(a, b) AS a, greatest(a, b) AS b, sim / 2 AS v FROM p1 UNION ALL SELECT least(a, b), greatest(a, b), sim / 3 FROM p2)"""
 
@@ -47,9 +47,9 @@ s AS (SELECT least(a, b) AS a, greatest(a, b) AS b, sim / 2 AS v FROM p1 UNION A
 @query(f"WITH {_GRAPH}, r AS (SELECT a, b, round(sum(v), 6) AS sim FROM s GROUP BY a, b) SELECT a, b, sim, degree AS rank_weight FROM r JOIN d ON b = id QUALIFY row_number() OVER (PARTITION BY b ORDER BY round(sim * degree, 6) DESC, a) <= 3")
 def m25_graph_retrieval(t):
     """Edges on short paths from the found entities: similarity falls with each hop; the best three edges of each node by similarity times rank."""
-    edges = g.merge_edges(t("customer").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("w"), F.col("c_custkey") % 40).alias("tgt"), F.col("c_acctbal").alias("weight")))
+    edges = g.merge_edges(t("lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("tgt"), F.col("l_quantity").alias("weight")))
     degree = g.degrees(edges)
-    start = degree.where("id like 'n%'").select("id", F.round(F.col("degree") / 40.0, 6).alias("sim"))
+    start = degree.where("id like 's%'").select("id", F.round(F.col("degree") / 1000.0, 6).alias("sim"))
     paths = g.neighbour_paths(edges, start.select("id"), 2).join(start.withColumnRenamed("id", "start"), "start")
     a, b = F.get("path", F.col("hop") - 1), F.get("path", F.col("hop"))
     steps = paths.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (F.col("sim") / (F.col("hop") + 1)).alias("v"))

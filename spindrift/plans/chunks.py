@@ -45,15 +45,42 @@ def t3_merge_past_limit(t):
     return ch.merge_sections(_sections(t), "sections", 128, overshoot=True)
 
 
-@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents), v AS (SELECT doc_id,
- count(*) FILTER (regexp_matches(s, '^PART (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)|^Chapter (I+V?|VI*|XI|IX|X)|^Section [0-9]+|^Article [0-9]+')) AS a,
- count(*) FILTER (regexp_matches(s, '^[0-9]{1,2}[\. ]|^[0-9]{1,2}\.[0-9]{1,2}|^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{1,2}')) AS b FROM x GROUP BY doc_id)
-SELECT doc_id, CASE WHEN greatest(a, b) = 0 THEN -1 WHEN a >= b THEN 0 ELSE 1 END AS family FROM v""")
+def _family_sql() -> str:
+    """CTEs x (doc_id, i, s) of all lines and fam (doc_id, family)."""
+    no = ch.begins_with(ch.NO_BULLETS)
+    votes = ", ".join(f"count(*) FILTER (regexp_matches(s, '{ch.begins_with(f)}') AND NOT regexp_matches(s, '{no}')) AS v{k}" for k, f in enumerate(ch.BULLETS))
+    best = f"greatest({', '.join(f'v{k}' for k in range(len(ch.BULLETS)))})"
+    pick = " ".join(f"WHEN v{k} = {best} THEN {k}" for k in range(len(ch.BULLETS)))
+    return f"""x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+v AS (SELECT doc_id, {votes} FROM x GROUP BY doc_id), fam AS (SELECT doc_id, CASE WHEN {best} = 0 THEN -1 {pick} END AS family FROM v)"""
+
+
+def _level_sql() -> str:
+    no = ch.begins_with(ch.NO_BULLETS)
+    hits = " ".join(f"WHEN family = {f} AND regexp_matches(trim(s), '^(?:{p})') AND NOT regexp_matches(s, '{no}') THEN {i}" for f, ps in enumerate(ch.BULLETS) for i, p in enumerate(ps))
+    return f"CASE {hits} ELSE CASE family {' '.join(f'WHEN {f} THEN {len(ps) + 1}' for f, ps in enumerate(ch.BULLETS))} ELSE {len(ch.BULLETS[0]) + 1} END END"
+
+
+@query(f"WITH {_family_sql()} SELECT doc_id, family FROM fam")
 def t5_bullet_family(t):
     """The family of heading marks of each document."""
     return t("documents").select("doc_id", ch.bullet_family(F.split("text", "\n")).alias("family"))
 
 
+@query(f"""WITH {_family_sql()}, l AS (SELECT doc_id, i, family, {_level_sql()} AS level FROM x JOIN fam USING (doc_id)),
+c AS (SELECT doc_id, level, count(*) AS n, min(i) AS first FROM l WHERE family >= 0 AND level <= CASE family {' '.join(f'WHEN {f} THEN {len(ps)}' for f, ps in enumerate(ch.BULLETS))} END GROUP BY ALL)
+SELECT doc_id, CAST(level AS INTEGER) AS most_level, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) = 1""")
+def t6_title_frequency(t):
+    """The most frequent level of a document's headings, by its family of marks; ties go to the level met first."""
+    d = t("documents").select("doc_id", F.split("text", "\n").alias("lines")).withColumn("family", ch.bullet_family(F.col("lines"))).where("family >= 0")
+    x = d.select("doc_id", "family", F.posexplode("lines").alias("i", "s"))
+    size = F.get(F.array(*(F.lit(len(f)) for f in ch.BULLETS)), F.col("family"))
+    x = x.withColumn("level", ch.bullet_level(F.col("s"), F.col("family"))).where(F.col("level") <= size)
+    c = x.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
+    return c.withColumn("at", F.row_number().over(w)).where("at = 1").select("doc_id", F.col("level").alias("most_level"), "n")
+
+
 @query("""WITH m AS (SELECT conv_id, turn, text, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS exchange FROM conversations)
 SELECT conv_id, CAST(exchange AS INTEGER) AS exchange, min(turn) AS first_turn, count(*) AS messages, string_agg(text, chr(10) ORDER BY turn, role, text) AS content FROM m GROUP BY conv_id, exchange""")
 def t7_exchanges(t):

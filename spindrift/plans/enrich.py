@@ -45,17 +45,6 @@ def s18_nested_passages(t):
     return ranked_passages(c, "conv_id", "texts", "marks")
 
 
-@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), v AS (SELECT doc_id, CASE WHEN length(line) < 40 THEN 0 WHEN length(line) < 200 THEN 1 ELSE 2 END AS level FROM x WHERE trim(line) <> ''), c AS (SELECT doc_id, level, count(*) AS n FROM v GROUP BY ALL)
-SELECT doc_id, level AS most_level, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, level) = 1""")
-def t6_title_frequency(t):
-    """The most frequent level of each document's lines."""
-    x = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    level = F.when(F.length("line") < 40, 0).when(F.length("line") < 200, 1).otherwise(2)
-    c = x.select("doc_id", level.alias("level")).groupBy("doc_id", "level").agg(_n().alias("n"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "level")
-    return c.withColumn("at", F.row_number().over(w)).where("at = 1").select("doc_id", F.col("level").alias("most_level"), "n")
-
-
 @query("""WITH l AS (SELECT doc_id, s, i, CASE WHEN length(s) < 40 THEN 1 ELSE 0 END AS head FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 k AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS sid FROM l)
 SELECT doc_id, CAST(sid AS INTEGER) AS sid, count(*) AS lines, md5(string_agg(s, chr(10) ORDER BY i)) AS digest FROM k GROUP BY doc_id, sid""")
@@ -260,13 +249,13 @@ def w22_number_words(t):
     return rows.select("p_partkey", "word", F.coalesce(F.element_at(table, F.col("word")), F.expr("try_cast(word as int)"), F.lit(-1)).alias("number"))
 
 
-_NEAR = "e AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey % 60 AS b FROM customer)"
+_NEAR = "e AS (SELECT DISTINCT c_nationkey AS a, 100 + c_custkey AS b FROM customer)"
 
 
 @query(f"""WITH RECURSIVE {_NEAR}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS seen FROM u UNION SELECT w.node, u.b FROM w JOIN u ON w.seen = u.a), c AS (SELECT node, min(seen) AS component FROM w GROUP BY node), k AS (SELECT component, count(*) AS n FROM c GROUP BY component)
 SELECT node FROM c WHERE component = (SELECT component FROM k ORDER BY n DESC, component LIMIT 1)""")
 def g9_largest_component(t):
-    e = t("customer").select(F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 60 + 100).alias("b"))
+    e = t("customer").select(F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") + 100).alias("b"))
     c = connected_components(e)
     largest = c.groupBy("component").agg(_n().alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
     return c.join(largest, "component", "left_semi").select("node")
@@ -313,9 +302,7 @@ def st8_cancelled(t):
 def c9_s21_sql_component(t):
     """A statement run over registered views."""
     df = t("customer")
-    name = "customer_" + str(abs(hash(id(df))))
-    df.createOrReplaceTempView(name)
-    return df.sparkSession.sql(f"SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM {name} WHERE c_acctbal > 0 GROUP BY c_mktsegment")
+    return df.sparkSession.sql("SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM {customer} WHERE c_acctbal > 0 GROUP BY c_mktsegment", customer=df)
 
 
 @query()

@@ -16,7 +16,7 @@ l AS (SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '{TOKEN}')), 0
 c AS (SELECT count(*) AS n, avg(CASE WHEN dl > 0 THEN dl END) AS avgdl FROM l),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 qt AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM benchmark),
-q AS (SELECT item_id, term, df FROM qt JOIN f USING (term) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY df, term) <= 8),
+q AS (SELECT item_id, term, df FROM qt JOIN f USING (term)),
 h AS (SELECT item_id, doc_id, term, tf, dl, df, n, avgdl, count(*) OVER (PARTITION BY item_id, doc_id) AS matched FROM q JOIN p USING (term) JOIN l USING (doc_id) CROSS JOIN c),
 k AS (SELECT item_id, count(*) AS terms FROM q GROUP BY item_id)
 """
@@ -24,13 +24,7 @@ _BM25 = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * d
 
 
 def _hits(t):
-    docs, items = t("documents"), t("benchmark")
-    post = s.postings(docs, "doc_id", "text")
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = s.query_terms(items, "item_id", "text", df)
-    terms = terms.withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    one = F.broadcast(s.corpus_stats(docs, "doc_id", "text"))  # one row
-    return terms.join(post, "term").join(one, F.lit(True))
+    return s.query_hits(t("benchmark"), "item_id", "text", t("documents"), "doc_id", "text")
 
 
 def _bm25(t):
@@ -40,7 +34,7 @@ def _bm25(t):
 
 @query(f"WITH {_BASE}, s AS (SELECT item_id, doc_id, round(sum({_BM25}), 6) AS score FROM h GROUP BY ALL) SELECT item_id, doc_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10")
 def m2_bm25_top10(t):
-    """BM25 of each item's rarest words against all documents."""
+    """BM25 of each item's words against all documents."""
     scored = _bm25(t).select("item_id", "doc_id", F.round("score", 6).alias("score"))
     return s.top(scored, "item_id", 10)
 
@@ -80,7 +74,9 @@ z AS (SELECT *, round(0.7 * term_similarity + 0.3 * text_similarity, 7) AS simil
 
 def _hybrid(t):
     hits = _hits(t).withColumn("raw", tx.raw_term_weight(F.col("term")))
-    total = hits.select("item_id", "term", "raw").distinct().groupBy("item_id").agg(F.sum("raw").alias("total"))
+    asked = t("benchmark").select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    known = hits.select("term").distinct()
+    total = asked.join(known, "term", "left_semi").groupBy("item_id").agg(F.sum(tx.raw_term_weight(F.col("term"))).alias("total"))
     score = s.bm25(*(F.col(x) for x in ("tf", "dl", "df", "n", "avgdl")))
     both = hits.groupBy("item_id", "doc_id").agg(F.sum(score).alias("bm"), F.sum("raw").alias("got")).join(total, "item_id")
     both = s.rescale(both, "item_id", "bm", "scaled")
@@ -88,6 +84,24 @@ def _hybrid(t):
     return both.withColumn("similarity", F.round(F.col("term_similarity") * 0.7 + F.col("text_similarity") * 0.3, 7))
 
 
+_VEC = """, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r0 AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) <= 70),
+y2 AS (SELECT item_id, doc_id, term_similarity, coalesce(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)), 0) AS cos FROM r0 LEFT JOIN v a ON a.vec_id = item_id LEFT JOIN v b ON b.vec_id = doc_id),
+z2 AS (SELECT item_id, doc_id, term_similarity, round(cos, 6) AS vector_similarity, round(CASE WHEN sum(abs(cos)) OVER (PARTITION BY item_id) = 0 THEN term_similarity ELSE 0.3 * cos + 0.7 * term_similarity END, 7) AS similarity FROM y2)
+"""
+
+
+@query(_SIM + _VEC + "SELECT item_id, doc_id, term_similarity, vector_similarity, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM z2 WHERE similarity >= 0.2 WINDOW w AS (PARTITION BY item_id ORDER BY similarity DESC, doc_id) QUALIFY row_number() OVER w <= 10")
+def m10_m11_vector_rerank(t):
+    """The first window of each item's hits ranked anew by vector and term similarity; a document's and an item's vector are those of their ids."""
+    first = s.top(_hybrid(t), "item_id", s.rerank_window(10), "similarity").select("item_id", "doc_id", "term_similarity")
+    v = t("embeddings")
+    both = first.join(v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("a")), "item_id", "left")
+    both = both.join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("b")), "doc_id", "left")
+    ranked = s.hybrid_similarity(both, "item_id", "term_similarity", "a", "b")
+    ranked = ranked.select("item_id", "doc_id", "term_similarity", F.round("vector_similarity", 6).alias("vector_similarity"), F.round("similarity", 7).alias("similarity"))
+    return s.top(ranked.where("similarity >= 0.2"), "item_id", 10, "similarity")
+
+
 @query(_SIM + " SELECT item_id, doc_id, term_similarity, text_similarity, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM z WHERE similarity >= 0.2 WINDOW w AS (PARTITION BY item_id ORDER BY similarity DESC, doc_id) QUALIFY row_number() OVER w <= 10")
 def m14_hybrid_retrieval(t):
     """The flagship: term and text similarity mixed, a threshold, and each item's first page."""

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as tx
@@ -33,8 +34,10 @@ def test_delimiters_of_one_or_more_characters(spark):
 
 
 def test_bullets_first_family_wins_ties(spark):
-    df = spark.createDataFrame([(["Chapter I x", "1. y"],), (["1. x", "2. y"],), (["plain"],)], "s array<string>")
-    assert [r["f"] for r in df.select(chunking.bullet_family(F.col("s")).alias("f")).collect()] == [0, 1, -1]
+    df = spark.createDataFrame([(["Chapter I x", "1. y"],), (["1. x", "2. y"],), (["plain"],), (["第一章 x", "第二节 y"],), (["Section 1 x"],), (["0 x", "3 5"],), (None,)], "s array<string>")
+    got = df.select(chunking.bullet_family(F.col("s")).alias("f"), chunking.bullet_level(F.get("s", F.lit(0)), F.lit(3)).alias("l")).collect()
+    assert [r["f"] for r in got] == [1, 1, -1, 0, 3, -1, -1]
+    assert [r["l"] for r in got] == [1, 5, 5, 5, 2, 5, 5]
 
 
 def test_conditions_skip_empty_values_and_treat_null_as_available(spark):
@@ -99,6 +102,31 @@ def test_vector_functions(spark):
     assert abs(r["x"] - 1) < 1e-12 and r["y"] == 0 and abs(r["w"][0] - 0.3) < 1e-12
 
 
+def test_spaces_stay_beside_letters_of_either_case(spark):
+    rows = ["Hello World and New York", "数据 库 的 Test 一", "a ( b ) c", "x  。 y"]
+    got = [r["t"] for r in spark.createDataFrame([(x,) for x in rows], "s string").select(tx.tight(F.col("s")).alias("t")).collect()]
+    assert got == ["Hello World and New York", "数据库的Test一", "a (b) c", "x。y"]
+
+
+def test_a_failed_write_leaves_the_index(spark):
+    s = store.ChunkStore(spark)
+    s.drop("safe_t")
+    s.create("safe_t", spark.createDataFrame([(1,)], "id long"))
+    with pytest.raises(Exception):  # noqa: B017
+        s.replace("safe_t", spark.range(1).select(F.raise_error(F.lit("no")).alias("id")))
+    assert pairs(s.read("safe_t"), "id") == [(1,)]
+    s.drop("safe_t")
+    assert not s.versions("safe_t")
+
+
+def test_hybrid_similarity_goes_by_terms_without_vectors(spark):
+    rows = [("q", 1, 0.5, [1.0, 0.0], [1.0, 0.0]), ("q", 2, 0.9, [1.0, 0.0], [0.0, 1.0]), ("r", 1, 0.4, None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "q string, doc_id long, tok double, a array<double>, b array<double>")
+    got = search.hybrid_similarity(df, "q", "tok", "a", "b")
+    assert [(x, y, round(z, 9)) for x, y, z in pairs(got, "q", "doc_id", "similarity")] == [("q", 1, 0.65), ("q", 2, 0.63), ("r", 1, 0.4)]
+    assert (search.rerank_window(10), search.rerank_window(30), search.rerank_window(100)) == (70, 90, 100)
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("what is the best engine", "Engines", "engine"), (None, "数据库", "数据仓库")], "q string, a string, b string")
     r = df.select(tx.strip_question_words(F.col("q")).alias("s"), tx.alike_names(F.col("a"), F.col("b")).alias("l"), tx.tokens(F.col("q")).alias("t")).collect()
