@@ -22,7 +22,8 @@ from .flatbytes import pieces
 
 #: A branch below this importance goes; nodes with fewer showings tell too little; weight of the contents below a node.
 LEAST, PAGES, BELOW = 0.2, 8, 0.9
-SALTS = 16
+#: Parts of a host, and of one with more pages than so many, for each such number of pages.
+SALTS, HOT_PAGES = 16, 100_000
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -36,12 +37,14 @@ _INLINE = frozenset(
 _VOID = frozenset("area base col embed hr img input link meta param source track wbr".split())
 _CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 _NOISE = frozenset("head nav footer aside form button dialog menu fieldset object".split())
-_NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|popup|modal|side-?bar|nav\w*|menus?|breadcrumbs?"
+_NAMES = (
+    r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|popup|modal|side-?bar|nav\w*|menus?|breadcrumbs?"
     r"|footer|share|sharing|social|related|recommend\w*|comments?|repl(?:y|ies)|disqus|newsletter|subscribe|sign-?up|login|widgets?"
-    r"|pagination|pager|toolbar|skip|banner|navigation|contentinfo|complementary|search)(?:$|[\s_-])",
-    re.I,
+    r"|pagination|pager|toolbar|skip|navigation|contentinfo|complementary|search)"
 )
+_NOISE_NAME = re.compile(rf"(?:^|[\s_-]){_NAMES}(?:$|[\s_-])", re.I)
+#: Inside an article the name must begin so: market-share is a matter of the article.
+_NOISE_INSIDE = re.compile(rf"(?:^|\s){_NAMES}(?:$|[\s_-])", re.I)
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:main|article|post-?(?:body|content)|entry-?content|article-?body)(?:$|[\s_-])", re.I)
 
@@ -102,7 +105,7 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, int, str]], list[tuple[str,
         called = name in ("article", "main") or bool(names and _MAIN_NAME.search(names))
         inside = main or (len(stack) if called else 0)
         whole = name in ("html", "body", "main") or name == "article" and bool(_MAIN_NAME.search(names))
-        noise = noise or name in _NOISE or bool(names and _NOISE_NAME.search(names) and not whole)
+        noise = noise or name in _NOISE or bool(names and (_NOISE_INSIDE if main else _NOISE_NAME).search(names) and not whole)
         noise = noise or not main and (name == "header" or bool(names and _HEADER_NAME.search(names) and name not in ("html", "body")))
         stack.append([f"{path}/{label}", noise, inside, [], name])
     if at < len(page):
@@ -195,8 +198,13 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", host.alias("host"), F.col("html").cast("string"))
     low = style_trees(rows.select("host", "html")).where(F.col("importance") < LEAST)
-    low = low.groupBy("host").agg(F.collect_set("path").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(low, ["host", "salt"], "left")
+    hot = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PAGES)
+    hot = F.broadcast(hot.select("host", (F.ceil(F.col("n") / HOT_PAGES) * SALTS).cast("int").alias("salts")))  # at most a row for HOT_PAGES pages
+    salts = F.coalesce("salts", F.lit(SALTS))
+    low = low.groupBy("host").agg(F.collect_set("path").alias("low")).join(hot, "host", "left")
+    low = low.select("host", "low", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    rows = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), salts).cast("int"))
+    rows = rows.join(low, ["host", "salt"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
