@@ -210,9 +210,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = sig.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     posts = own.select(F.col("doc_id").alias("doc"), F.explode("sig").alias("key"))
     each = Window.partitionBy("doc")
+    # counted before the shuffle and joined back, so that a list which many sets share meets in no one task
+    often = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     prefix = (
-        posts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("key")))
-        .where("df > 1")
+        posts.join(often, "key")
         .withColumn("held", F.count(F.lit(1)).over(each))
         .where(f"held >= {MATCHES}")
         .withColumn("at", F.row_number().over(each.orderBy("df", "key")))
