@@ -68,6 +68,20 @@ def test_topk_matches_brute_force_with_ties_and_sparse_vectors(spark):
     assert sorted(map(tuple, got.collect())) == brute_top(vectors, 10)
 
 
+@pytest.mark.parametrize(("shard", "block", "stride", "seeds"), [(64, 2, 7, 40), (100, 3, 16, 5)])
+def test_topk_over_many_shards_blocks_and_strides(spark, monkeypatch, shard, block, stride, seeds):
+    rng = np.random.default_rng(5)
+    vectors = [(i, [int(x) for x in rng.integers(-3, 4, int(rng.integers(0, 8)))]) for i in range(900)]
+    vectors += [(i, [2] * 5) for i in (7, 7, 100, 300)]
+    vectors = [v for v in vectors if v[0] not in (100, 300)] + [(100, [2] * 5), (300, [2] * 5)]
+    for name, value in (("SHARD", shard), ("BLOCK", block), ("STRIDE", stride), ("SEEDS", seeds)):
+        monkeypatch.setattr(topk, name, value)
+    df = spark.createDataFrame(vectors, "vec_id long, v array<long>").withColumn("floor", F.lit("x")).withColumn("shard", F.lit(1))
+    got = sorted(map(tuple, topk.top_k(df.where("vec_id % 100 = 0"), df).collect()))
+    padded = [(i, v + [0] * (8 - len(v))) for i, v in vectors]
+    assert got == brute_top(padded, 10)
+
+
 def test_topk_skips_vectors_that_are_not_finite(spark):
     rows = [(0, [1.0, 0.5]), (1, [float("nan"), 1.0]), (2, [None, 1.0]), (3, [0.25, -0.1]), (4, None), (5, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", topk.floored(F.col("embedding")).alias("v"))
