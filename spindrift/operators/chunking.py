@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,35 +16,89 @@ _CHUNKS = "array<struct<start:int,n:int,tokens:int>>"
 
 def _pack(limit: int, overshoot: bool):
     @F.pandas_udf(_CHUNKS)
-    def pack(sizes: pd.Series) -> pd.Series:
+    def pack(sizes: pd.Series, alone: pd.Series) -> pd.Series:
         rows = []
-        for row in sizes:
+        for row, flags in zip(sizes, alone, strict=True):
             chunks: list[list[int]] = []
+            closed = False
             for i, n in enumerate(row if row is not None else ()):
+                single = bool(len(flags)) and bool(flags[i])
                 full = chunks and (chunks[-1][2] > limit if overshoot else chunks[-1][2] + n > limit)
-                if not chunks or full:
+                if not chunks or full or single or closed:
                     chunks.append([i, 1, int(n)])
                 else:
                     chunks[-1][1] += 1
                     chunks[-1][2] += int(n)
+                closed = single
             rows.append([{"start": a, "n": b, "tokens": c} for a, b, c in chunks])
         return pd.Series(rows)
 
     return pack
 
 
-def merge_sections(docs: DataFrame, sections: str, limit: int = 128, overshoot: bool = False) -> DataFrame:
+def _content(sections: str | Column, chunk: Column) -> Column:
+    return F.array_join(F.slice(sections, chunk["start"] + 1, chunk["n"]), "")
+
+
+def merge_sections(docs: DataFrame, sections: str, limit: int = 128, overshoot: bool = False, alone: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per chunk: the columns of ``docs`` but ``sections``, with chunk_no, tokens and content.
 
     Sections are joined without a separator. A new chunk begins if the last one and the section together exceed ``limit`` tokens;
-    with ``overshoot``, if the last one alone does.
+    with ``overshoot``, if the last one alone does. A section for which ``alone`` holds is a chunk of its own.
     """
     sized = docs.withColumn("_sizes", F.transform(sections, lambda s: token_count(s).cast("int")))
-    packed = sized.withColumn("_chunks", _pack(limit, overshoot)("_sizes"))
+    flags = F.transform(sections, lambda s: F.coalesce(alone(s), F.lit(False))) if alone else F.array().cast("array<boolean>")
+    packed = sized.withColumn("_chunks", _pack(limit, overshoot)("_sizes", flags))
     keep = [c for c in docs.columns if c != sections]
     out = packed.select(*keep, sections, F.posexplode("_chunks").alias("chunk_no", "_c"))
-    content = F.array_join(F.slice(sections, F.col("_c.start") + 1, F.col("_c.n")), "")
-    return out.select(*keep, "chunk_no", F.col("_c.tokens").alias("tokens"), content.alias("content"))
+    return out.select(*keep, "chunk_no", F.col("_c.tokens").alias("tokens"), _content(sections, F.col("_c")).alias("content"))
+
+
+def chunk_by_method(docs: DataFrame, method: str, text: str, limit: int = 128) -> DataFrame:
+    """One row per chunk: the columns of ``docs`` but ``text``, with chunk_no and content, by the method that each row names.
+
+    "one" keeps a text whole, "lines" takes its non-blank lines, any other name packs its lines to ``limit`` tokens. One pass.
+    """
+    whole, by_line = F.col(method).eqNullSafe("one"), F.col(method).eqNullSafe("lines")
+    lines = docs.withColumn("_lines", delimited(F.col(text), "\n"))
+    sizes = F.when(~whole & ~by_line, F.transform("_lines", lambda s: token_count(s).cast("int")))
+    packed = lines.withColumn("_chunks", _pack(limit, False)(sizes, F.array().cast("array<boolean>")))
+    pieces = F.when(whole, F.array(text)).when(by_line, F.col("_lines")).otherwise(F.transform("_chunks", lambda c: _content("_lines", c)))
+    return packed.select(*[c for c in docs.columns if c != text], F.posexplode(pieces).alias("chunk_no", "content"))
+
+
+# Headings of tables of contents and the like, without spaces; they are told in lower case only.
+CONTENTS = ("contents", "目录", "目次", "致谢", "acknowledge")
+
+
+def drop_contents(lines: list[str], english: bool = False, reach: int = 128) -> list[str]:
+    """The lines without tables of contents: a heading, and what follows until the first entry's beginning returns within ``reach`` lines.
+
+    An entry begins with its first three characters, in English with its first two words. If none returns, heading and entry go.
+    """
+    begin = lambda s: " ".join(s.split()[:2]) if english else s.strip()[:3]
+    kept, i = [], 0
+    while i < len(lines):
+        if re.sub(r"[ \u3000]+", "", lines[i].split("@@")[0].strip()) not in CONTENTS:
+            kept.append(lines[i])
+            i += 1
+            continue
+        entries = [j for j in range(i + 1, len(lines)) if begin(lines[j])]
+        if not entries:
+            break
+        entry, i = begin(lines[entries[0]]), entries[0] + 1
+        i = next((j for j in range(i, min(i + reach, len(lines))) if lines[j].strip().startswith(entry)), i)
+    return kept
+
+
+def without_contents(lines: Column, english: bool = False) -> Column:
+    """``drop_contents`` of an array of lines; null stays null."""
+
+    @F.pandas_udf("array<string>")
+    def drop(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else drop_contents([x or "" for x in r], english) for r in rows], dtype=object)
+
+    return drop(lines)
 
 
 def delimited(text: Column, delimiters: str = "\n!?;") -> Column:

@@ -97,3 +97,46 @@ def pack_budget(ranked: DataFrame, query: str, rank: str, tokens_column: str, bu
     w = Window.partitionBy(query).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     summed = ranked.withColumn("used", F.sum(tokens_column).over(w))
     return summed.where(F.col("used") - F.col(tokens_column) <= budget * share)
+
+
+def gather(tables: list[DataFrame], k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
+    """The ``k`` best rows over several tables; each is asked for its own ``k`` best first."""
+    best = [t.orderBy(F.desc(score), tie).limit(k) for t in tables]
+    rows = best[0]
+    for more in best[1:]:
+        rows = rows.unionByName(more)
+    return rows.orderBy(F.desc(score), tie).limit(k)
+
+
+def label_questions(matched: DataFrame, tagged: DataFrame, query: str, chunk: str, tag: str, k: int) -> DataFrame:
+    """(query, tag, score, rank): each query's ``k`` most telling tags among the chunks it matched, against all chunks of ``tagged``."""
+    every = tagged.groupBy(tag).agg(F.count(F.lit(1)).alias("_all"))
+    total = F.broadcast(every.agg(F.sum("_all").alias("_total")))  # one row
+    prior = every.join(total, F.lit(True)).select(tag, ((F.col("_all") + 1) / (F.col("_total") + 1000)).alias("_prior"))
+    counts = matched.join(tagged, chunk).groupBy(query, tag).agg(F.count(F.lit(1)).alias("_c")).join(prior, tag)
+    score = F.lit(10) * (F.col("_c") + 1) / (F.sum("_c").over(Window.partitionBy(query)) + 1000) / F.greatest(F.lit(1e-6), F.col("_prior"))
+    scored = counts.withColumn("score", F.bround(score, 0).cast("long")).where("score > 0")
+    return top(scored.select(query, tag, "score"), query, k, "score", tag)
+
+
+#: The first threshold of citations, its decay while nothing is cited, where it ends, and how near the best a citation is.
+CITE_FROM, CITE_DECAY, CITE_ABOVE, CITE_NEAR = 0.63, 0.8, 0.3, 0.99
+
+
+def cite(near: DataFrame, answer: list[str], sentence: str, chunk: str, score: str, each: int = 4) -> DataFrame:
+    """The rows (answer, sentence, chunk, score) that are citations.
+
+    A sentence whose best score reaches the threshold cites the chunks close to that best, at most ``each``, by order of chunk; the
+    threshold of an answer falls until a sentence reaches it. Within an answer, a chunk is cited by its first sentence only.
+    """
+    steps, at = [], CITE_FROM
+    while at > CITE_ABOVE:
+        steps.append(at)
+        at *= CITE_DECAY
+    near = near.withColumn("_near", F.max(score).over(Window.partitionBy(*answer, sentence)) * CITE_NEAR)
+    near = near.withColumn("_best", F.max("_near").over(Window.partitionBy(*answer)))
+    floor = F.coalesce(*(F.when(F.col("_best") >= t, F.lit(t)) for t in steps))
+    cited = near.where((F.col("_near") >= floor) & (F.col(score) > F.col("_near"))).drop("_near", "_best")
+    cited = cited.withColumn("_i", F.row_number().over(Window.partitionBy(*answer, sentence).orderBy(chunk))).where(F.col("_i") <= each)
+    first = F.row_number().over(Window.partitionBy(*answer, chunk).orderBy(sentence))
+    return cited.withColumn("_i", first).where("_i = 1").drop("_i")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,22 @@ def update(rows: DataFrame, wanted: Mapping[str, object], assign: Mapping[str, o
     return rows.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in change.items()})
 
 
+def look_up(asked: DataFrame, stored: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
+    """``asked`` with stored_at, when its key was last stored before or at its time and less than ``seconds`` ago, and hit.
+
+    ``stored`` has (key, at). Time goes in spans of ``seconds``; what is stored counts in its span and the next, so that a key's rows
+    are split by span.
+    """
+    span = F.floor(F.col(at).cast("timestamp").cast("double") / seconds)
+    writes = stored.select(key, at).distinct().withColumn("_span", F.explode(F.array(span, span + 1))).withColumn("_stored", F.col(at))
+    rows = asked.withColumn("_span", span).withColumn("_asked", F.lit(1)).unionByName(writes, allowMissingColumns=True)
+    before = Window.partitionBy(key, "_span").orderBy(F.coalesce("_stored", at), F.coalesce("_asked", F.lit(0))).rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.withColumn("stored_at", F.max("_stored").over(before)).where("_asked = 1")
+    fresh = F.col(at).cast("timestamp").cast("double") - F.col("stored_at").cast("timestamp").cast("double") < seconds
+    last = last.withColumn("hit", F.coalesce(fresh, F.lit(False))).withColumn("stored_at", F.when(F.col("hit"), F.col("stored_at")))
+    return last.select(*asked.columns, "stored_at", "hit")
+
+
 class ChunkStore:
     """Named indexes of a catalog database. An index is a view of its newest version: a write makes a new table and then points the view
     to it in one step, so that readers see the old rows or the new ones, and a failed write leaves the old."""
