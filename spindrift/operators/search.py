@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import token_total, tokens
 from ..functions.vectors import cosine
 from ..sources.scratch import materialize
 
@@ -23,29 +23,50 @@ def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame, key: str, text: str) -> DataFrame:
     """One row (n, avgdl): chunks, and their mean count of words over those that have any."""
-    sized = chunks.select(F.size(tokens(F.col(text))).alias("dl"))
+    sized = chunks.select(token_total(F.col(text)).alias("dl"))
     return sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
 
 
-def query_hits(queries: DataFrame, query: str, query_text: str, chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """(query, key, term, tf, dl, df, terms, n, avgdl): every word of a query in every chunk that has it.
+def query_postings(
+    queries: DataFrame, query: str, query_text: str, chunks: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75
+) -> tuple[DataFrame, DataFrame]:
+    """The words of queries and the postings that hold them, to be joined on term.
 
-    ``terms`` counts a query's different words that the corpus has, ``n`` and ``avgdl`` are the corpus's. Only postings of words that
-    some query has are kept; they are written once, and document frequencies come from them.
+    First (query, term, df, n, terms, idf): each word of a query that the corpus has; ``terms`` counts a query's different ones, ``n``
+    the corpus's chunks. Then (key, term, tf, dl, avgdl, share). BM25 is the sum of ``idf * share``, so that a hit costs one product.
+    Only postings of words that some query has are kept; they are written once, those of a chunk together, and document frequencies
+    come from them. The words keep all shuffle partitions: they are few rows, but each meets all its postings.
     """
+    stats = corpus_stats(chunks, key, text).first()
+    n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"]).cast("double")
     asked = queries.select(query, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     words = chunks.select(key, tokens(F.col(text)).alias("w"))
     held = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    held = materialize(held.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "search-postings")
+    held = held.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    held = materialize(held.repartition(key), "search-postings")
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = asked.join(df, "term").withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy(query)))
-    one = F.broadcast(corpus_stats(chunks, key, text))  # one row
-    return terms.join(held, "term").join(one, F.lit(True))
+    spread = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    terms = asked.join(df, "term").repartition(spread, query).withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy(query)))
+    terms = terms.withColumn("n", n).withColumn("idf", bm25_idf(F.col("df"), n))
+    return terms, held.withColumn("avgdl", avgdl).withColumn("share", bm25_share(F.col("tf"), F.col("dl"), avgdl, k1, b))
+
+
+def query_hits(queries: DataFrame, query: str, query_text: str, chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """Every word of a query in every chunk that has it, with the columns of both tables of ``query_postings``."""
+    terms, held = query_postings(queries, query, query_text, chunks, key, text)
+    return terms.join(held, "term")
+
+
+def bm25_idf(df: Column, n: Column) -> Column:
+    return F.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def bm25_share(tf: Column, dl: Column, avgdl: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    return tf / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
 def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1: float = 1.2, b: float = 0.75) -> Column:
-    idf = F.log1p((n - df + 0.5) / (df + 0.5))
-    return idf * tf / (tf + k1 * (1 - b + b * dl / avgdl))
+    return bm25_idf(df, n) * bm25_share(tf, dl, avgdl, k1, b)
 
 
 def presence_score(df: Column, n: Column) -> Column:
@@ -55,7 +76,10 @@ def presence_score(df: Column, n: Column) -> Column:
 
 def match(found: DataFrame, query: str, chunk: str, score: Column, least_share: float = 0.0) -> DataFrame:
     """(query, chunk, matched, score) from rows (query, chunk, term, terms): sums over terms, with a least share of matched terms."""
-    summed = found.groupBy(query, chunk).agg(F.count(F.lit(1)).alias("matched"), F.sum(score).alias("score"), F.first("terms").alias("terms"))
+    sums = [F.count(F.lit(1)).alias("matched"), F.sum(score).alias("score")]
+    if not least_share:
+        return found.groupBy(query, chunk).agg(*sums)
+    summed = found.groupBy(query, chunk).agg(*sums, F.first("terms").alias("terms"))
     return summed.where(F.col("matched") >= F.floor(F.col("terms") * least_share)).drop("terms")
 
 

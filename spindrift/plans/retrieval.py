@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import search as s
+from ..sources.scratch import materialize
 from .base import TOKEN, query
 
 _BASE = rf"""
@@ -28,8 +29,7 @@ def _hits(t):
 
 
 def _bm25(t):
-    score = s.bm25(*(F.col(x) for x in ("tf", "dl", "df", "n", "avgdl")))
-    return s.match(_hits(t), "item_id", "doc_id", score)
+    return s.match(_hits(t), "item_id", "doc_id", F.col("idf") * F.col("share"))
 
 
 @query(f"WITH {_BASE}, s AS (SELECT item_id, doc_id, round(sum({_BM25}), 6) AS score FROM h GROUP BY ALL) SELECT item_id, doc_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10")
@@ -43,7 +43,9 @@ def m2_bm25_top10(t):
 SELECT item_id, doc_id, matched, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s JOIN k USING (item_id) WHERE matched >= floor(terms * 0.3) WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10""")
 def m1_m3_fulltext_match(t):
     """Documents with at least 30 % of an item's words, by the store's own similarity."""
-    scored = s.match(_hits(t), "item_id", "doc_id", s.presence_score(F.col("df"), F.col("n")), 0.3)
+    terms, held = s.query_postings(t("benchmark"), "item_id", "text", t("documents"), "doc_id", "text")
+    terms = terms.withColumn("presence", s.presence_score(F.col("df"), F.col("n")))
+    scored = s.match(terms.join(held, "term"), "item_id", "doc_id", F.col("presence"), 0.3)
     return s.top(scored.withColumn("score", F.round("score", 6)), "item_id", 10)
 
 
@@ -73,13 +75,11 @@ z AS (SELECT *, round(0.7 * term_similarity + 0.3 * text_similarity, 7) AS simil
 
 
 def _hybrid(t):
-    hits = _hits(t).withColumn("raw", tx.raw_term_weight(F.col("term")))
-    asked = t("benchmark").select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    known = hits.select("term").distinct()
-    total = asked.join(known, "term", "left_semi").groupBy("item_id").agg(F.sum(tx.raw_term_weight(F.col("term"))).alias("total"))
-    score = s.bm25(*(F.col(x) for x in ("tf", "dl", "df", "n", "avgdl")))
-    both = hits.groupBy("item_id", "doc_id").agg(F.sum(score).alias("bm"), F.sum("raw").alias("got")).join(total, "item_id")
-    both = s.rescale(both, "item_id", "bm", "scaled")
+    terms, held = s.query_postings(t("benchmark"), "item_id", "text", t("documents"), "doc_id", "text")
+    terms = terms.withColumn("raw", tx.raw_term_weight(F.col("term")))
+    total = terms.groupBy("item_id").agg(F.sum("raw").alias("total"))
+    both = terms.join(held, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("idf") * F.col("share")).alias("bm"), F.sum("raw").alias("got"))
+    both = s.rescale(materialize(both, "search-scores"), "item_id", "bm", "scaled").join(total, "item_id")
     both = both.select("item_id", "doc_id", F.round(F.col("got") / (F.col("total") + 1e-9), 6).alias("term_similarity"), F.round("scaled", 6).alias("text_similarity"))
     return both.withColumn("similarity", F.round(F.col("term_similarity") * 0.7 + F.col("text_similarity") * 0.3, 7))
 
@@ -128,7 +128,7 @@ SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, dl AS tokens, CAST(used A
 def m26_prompt_packing(t):
     """As many of each item's first hits as a budget of 2000 words holds."""
     page = s.top(_hybrid(t), "item_id", 10, "similarity")
-    sized = t("documents").select("doc_id", F.size(tx.tokens(F.col("text"))).alias("tokens"))
+    sized = t("documents").select("doc_id", tx.token_total(F.col("text")).alias("tokens"))
     return s.pack_budget(page.join(sized, "doc_id").select("item_id", "doc_id", "rank", "tokens"), "item_id", "rank", "tokens", 2000)
 
 
