@@ -34,3 +34,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialize`` wrote, once nothing reads it any more; other tables are left alone."""
+    spark = df.sparkSession
+    root = scratch_dir(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath() + "/"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
