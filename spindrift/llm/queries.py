@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, html_extract, langid, licenses, mixing, neardup, sharding, topk, toxicity, whitening
+from . import bpe, codes, fingerprint, html_extract, langid, licenses, mixing, neardup, sharding, topk, toxicity, whitening
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         fingerprint.op9_cws_fingerprints,
         langid.op10_language_id,
         whitening.op11_embedding_whitening,
+        codes.op12_vector_codes,
     )
 }
-ORACLES = {"op1_maxscore_top_k": topk.OP1_SQL, "op2_license_scan": licenses.OP2_SQL, "op8_mix_sources": mixing.OP8_SQL}
+ORACLES = {"op1_maxscore_top_k": topk.OP1_SQL, "op2_license_scan": licenses.OP2_SQL, "op8_mix_sources": mixing.OP8_SQL, "op12_vector_codes": codes.OP12_SQL}
