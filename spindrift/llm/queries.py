@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, codes, fingerprint, html_extract, langid, licenses, mixing, neardup, sharding, topk, toxicity, whitening
+from . import bpe, codes, fingerprint, html_extract, langid, licenses, lines, mixing, neardup, sharding, topk, toxicity, whitening
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,13 @@ QUERIES = {
         langid.op10_language_id,
         whitening.op11_embedding_whitening,
         codes.op12_vector_codes,
+        lines.op13_line_dedup,
     )
 }
-ORACLES = {"op1_maxscore_top_k": topk.OP1_SQL, "op2_license_scan": licenses.OP2_SQL, "op8_mix_sources": mixing.OP8_SQL, "op12_vector_codes": codes.OP12_SQL}
+ORACLES = {
+    "op1_maxscore_top_k": topk.OP1_SQL,
+    "op2_license_scan": licenses.OP2_SQL,
+    "op8_mix_sources": mixing.OP8_SQL,
+    "op12_vector_codes": codes.OP12_SQL,
+    "op13_line_dedup": lines.OP13_SQL,
+}
