@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import token_total, tokens
 from ..functions.vectors import cosine
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, spread_out
 
 
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,6 +37,7 @@ def query_postings(
     Only postings of words that some query has are kept; they are written once, those of a chunk together, and document frequencies
     come from them. The words keep all shuffle partitions: they are few rows, but each meets all its postings.
     """
+    chunks = spread_out(chunks.select(key, text))
     stats = corpus_stats(chunks, key, text).first()
     n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"]).cast("double")
     asked = queries.select(query, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
@@ -87,9 +88,14 @@ def hybrid_similarity(scored: DataFrame, query: str, terms: str, a: str, b: str,
     """``scored`` with vector_similarity (cosine of the vectors ``a`` and ``b``, 0 where one is missing) and similarity: ``weight`` of it
     and the rest of ``terms``; a query none of whose rows has a vector similarity goes by its terms alone."""
     near = scored.withColumn("vector_similarity", F.coalesce(cosine(F.col(a), F.col(b)), F.lit(0.0)))
+    return mix_similarity(near, query, terms, weight).drop(a, b)
+
+
+def mix_similarity(near: DataFrame, query: str, terms: str, weight: float = 0.3) -> DataFrame:
+    """``near``, which has vector_similarity, with ``weight`` of it and the rest of ``terms`` in similarity, as ``hybrid_similarity``."""
     any_near = near.groupBy(query).agg(F.sum(F.abs("vector_similarity")).alias("_near"))
     mixed = F.col("vector_similarity") * weight + F.col(terms) * (1 - weight)
-    return near.join(any_near, query).withColumn("similarity", F.when(F.col("_near") == 0, F.col(terms)).otherwise(mixed)).drop("_near", a, b)
+    return near.join(any_near, query).withColumn("similarity", F.when(F.col("_near") == 0, F.col(terms)).otherwise(mixed)).drop("_near")
 
 
 def rerank_window(page_size: int, limit: int = 64) -> int:

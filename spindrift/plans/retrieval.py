@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..operators import pruned as pr
 from ..operators import search as s
 from ..sources.scratch import materialize
 from .base import TOKEN, query
@@ -32,11 +33,16 @@ def _bm25(t):
     return s.match(_hits(t), "item_id", "doc_id", F.col("idf") * F.col("share"))
 
 
+def _best(t, k):
+    """BM25 of each item's ``k`` best documents, to 6 digits, and of some more."""
+    hits = pr.top_hits(t("benchmark"), "item_id", "text", t("documents"), "doc_id", "text", k)
+    return s.match(hits, "item_id", "doc_id", F.col("idf") * F.col("share")).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {_BASE}, s AS (SELECT item_id, doc_id, round(sum({_BM25}), 6) AS score FROM h GROUP BY ALL) SELECT item_id, doc_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10")
 def m2_bm25_top10(t):
-    """BM25 of each item's words against all documents."""
-    scored = _bm25(t).select("item_id", "doc_id", F.round("score", 6).alias("score"))
-    return s.top(scored, "item_id", 10)
+    """BM25 of each item's words against all documents, of which few are scored."""
+    return s.top(_best(t, 10).select("item_id", "doc_id", "score"), "item_id", 10)
 
 
 @query(f"""WITH {_BASE}, s AS (SELECT item_id, doc_id, any_value(matched) AS matched, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)), 6) AS score FROM h GROUP BY ALL)
@@ -66,51 +72,70 @@ def w4_term_weights(t):
     return terms.select("item_id", "term", F.round(F.col("raw") / total, 9).alias("weight"))
 
 
+#: How many documents the first stage hands to the second: about 64, as whole pages of ten.
+_WINDOW = s.rerank_window(10)
 _SIM = rf"""WITH {_BASE}, w AS (SELECT item_id, term, {_WEIGHT} AS raw FROM q), tot AS (SELECT item_id, sum(raw) AS total FROM w GROUP BY item_id),
-b AS (SELECT item_id, doc_id, sum({_BM25}) AS bm FROM h GROUP BY ALL),
+b0 AS (SELECT item_id, doc_id, round(sum({_BM25}), 6) AS bm FROM h GROUP BY ALL),
+b AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY bm DESC, doc_id) <= {_WINDOW}),
 m AS (SELECT item_id, doc_id, sum(raw) AS got FROM w JOIN p USING (term) GROUP BY ALL),
 x AS (SELECT item_id, doc_id, bm, got / (total + 1e-9) AS tok, min(bm) OVER (PARTITION BY item_id) AS lo, max(bm) OVER (PARTITION BY item_id) AS hi FROM b JOIN m USING (item_id, doc_id) JOIN tot USING (item_id)),
 y AS (SELECT item_id, doc_id, round(tok, 6) AS term_similarity, round(CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0 END, 6) AS text_similarity FROM x),
 z AS (SELECT *, round(0.7 * term_similarity + 0.3 * text_similarity, 7) AS similarity FROM y)"""
 
 
+def _window(t):
+    """The first stage: each item's best documents by BM25, with their term similarity."""
+    hits = pr.top_hits(t("benchmark"), "item_id", "text", t("documents"), "doc_id", "text", _WINDOW)
+    both = hits.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("idf") * F.col("share")), 6).alias("bm"), F.sum("raw").alias("got"), F.first("total").alias("total"))
+    both = s.top(both, "item_id", _WINDOW, "bm").drop("rank")
+    return both.select("item_id", "doc_id", "bm", F.round(F.col("got") / (F.col("total") + 1e-9), 6).alias("term_similarity"))
+
+
 def _hybrid(t):
-    terms, held = s.query_postings(t("benchmark"), "item_id", "text", t("documents"), "doc_id", "text")
-    terms = terms.withColumn("raw", tx.raw_term_weight(F.col("term")))
-    total = terms.groupBy("item_id").agg(F.sum("raw").alias("total"))
-    both = terms.join(held, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("idf") * F.col("share")).alias("bm"), F.sum("raw").alias("got"))
-    both = s.rescale(materialize(both, "search-scores"), "item_id", "bm", "scaled").join(total, "item_id")
-    both = both.select("item_id", "doc_id", F.round(F.col("got") / (F.col("total") + 1e-9), 6).alias("term_similarity"), F.round("scaled", 6).alias("text_similarity"))
+    both = s.rescale(materialize(_window(t), "search-window"), "item_id", "bm", "scaled")
+    both = both.select("item_id", "doc_id", "term_similarity", F.round("scaled", 6).alias("text_similarity"))
     return both.withColumn("similarity", F.round(F.col("term_similarity") * 0.7 + F.col("text_similarity") * 0.3, 7))
 
 
-_VEC = """, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r0 AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) <= 70),
-y2 AS (SELECT item_id, doc_id, term_similarity, coalesce(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)), 0) AS cos FROM r0 LEFT JOIN v a ON a.vec_id = item_id LEFT JOIN v b ON b.vec_id = doc_id),
-z2 AS (SELECT item_id, doc_id, term_similarity, round(cos, 6) AS vector_similarity, round(CASE WHEN sum(abs(cos)) OVER (PARTITION BY item_id) = 0 THEN term_similarity ELSE 0.3 * cos + 0.7 * term_similarity END, 7) AS similarity FROM y2)
+def _vector_sql(table, key):
+    words = f"(SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS hash FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS w FROM {table}))"
+    return f"(SELECT {key}, hash % 64 AS dim, sum(CASE WHEN (hash // 64) % 2 = 0 THEN 1 ELSE -1 END) AS v FROM {words} GROUP BY ALL)"
+
+
+_VEC = f""", vd AS {_vector_sql("documents", "doc_id")}, vi AS {_vector_sql("benchmark", "item_id")},
+ld AS (SELECT doc_id, sqrt(sum(v * v)) AS ld FROM vd GROUP BY doc_id), li AS (SELECT item_id, sqrt(sum(v * v)) AS li FROM vi GROUP BY item_id),
+dots AS (SELECT item_id, doc_id, sum(vi.v * vd.v) AS d FROM z JOIN vi USING (item_id) JOIN vd USING (doc_id, dim) GROUP BY ALL),
+z2 AS (SELECT item_id, doc_id, term_similarity, round(CASE WHEN li * ld > 0 AND d IS NOT NULL THEN d / (li * ld) ELSE 0 END, 6) AS vector_similarity FROM z LEFT JOIN dots USING (item_id, doc_id) LEFT JOIN li USING (item_id) LEFT JOIN ld USING (doc_id)),
+z3 AS (SELECT item_id, doc_id, term_similarity, vector_similarity, round(CASE WHEN sum(abs(vector_similarity)) OVER (PARTITION BY item_id) = 0 THEN term_similarity ELSE 0.3 * vector_similarity + 0.7 * term_similarity END, 7) AS similarity FROM z2)
 """
 
 
-@query(_SIM + _VEC + "SELECT item_id, doc_id, term_similarity, vector_similarity, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM z2 WHERE similarity >= 0.2 WINDOW w AS (PARTITION BY item_id ORDER BY similarity DESC, doc_id) QUALIFY row_number() OVER w <= 10")
+def _retrieval(t):
+    """Both stages: the window ranked by term similarity and by the cosine of the texts' hashed word vectors."""
+    first = materialize(_window(t), "search-window")
+    docs = t("documents").join(first.select("doc_id").distinct(), "doc_id", "left_semi")
+    near = pr.sparse_cosine(first, pr.hashed_vectors(t("benchmark"), "item_id", "text"), pr.hashed_vectors(docs, "doc_id", "text"), "item_id", "doc_id", "near")
+    ranked = s.mix_similarity(near.withColumn("vector_similarity", F.round("near", 6)), "item_id", "term_similarity")
+    return ranked.select("item_id", "doc_id", "term_similarity", "vector_similarity", F.round("similarity", 7).alias("similarity"))
+
+
+@query(_SIM + _VEC + "SELECT item_id, doc_id, term_similarity, vector_similarity, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM z3 WHERE similarity >= 0.2 WINDOW w AS (PARTITION BY item_id ORDER BY similarity DESC, doc_id) QUALIFY row_number() OVER w <= 10")
 def m10_m11_vector_rerank(t):
-    """The first window of each item's hits ranked anew by vector and term similarity; a document's and an item's vector are those of their ids."""
-    first = s.top(_hybrid(t), "item_id", s.rerank_window(10), "similarity").select("item_id", "doc_id", "term_similarity")
-    v = t("embeddings")
-    both = first.join(v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("a")), "item_id", "left")
-    both = both.join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("b")), "doc_id", "left")
-    ranked = s.hybrid_similarity(both, "item_id", "term_similarity", "a", "b")
-    ranked = ranked.select("item_id", "doc_id", "term_similarity", F.round("vector_similarity", 6).alias("vector_similarity"), F.round("similarity", 7).alias("similarity"))
-    return s.top(ranked.where("similarity >= 0.2"), "item_id", 10, "similarity")
+    """The first window of each item's hits ranked anew by vector and term similarity."""
+    return s.top(_retrieval(t).where("similarity >= 0.2"), "item_id", 10, "similarity")
 
 
-@query(_SIM + " SELECT item_id, doc_id, term_similarity, text_similarity, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM z WHERE similarity >= 0.2 WINDOW w AS (PARTITION BY item_id ORDER BY similarity DESC, doc_id) QUALIFY row_number() OVER w <= 10")
+@query(_SIM + _VEC + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank, count(*) OVER (PARTITION BY item_id) AS total FROM z3 WHERE similarity >= 0.2) SELECT item_id, doc_id, source, term_similarity, vector_similarity, similarity, CAST(rank AS INTEGER) AS rank, total FROM r JOIN documents USING (doc_id) WHERE rank <= 10")
 def m14_hybrid_retrieval(t):
-    """The flagship: term and text similarity mixed, a threshold, and each item's first page."""
-    return s.top(_hybrid(t).where("similarity >= 0.2"), "item_id", 10, "similarity")
+    """The flagship: a first stage by words, a second by words and vectors, a threshold, each item's first page and how many pass in the window."""
+    hits = _retrieval(t).where("similarity >= 0.2").withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
+    page = s.top(hits, "item_id", 10, "similarity")
+    return page.join(t("documents").select("doc_id", "source"), "doc_id").select("item_id", "doc_id", "source", "term_similarity", "vector_similarity", "similarity", "rank", "total")
 
 
 @query(_SIM + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank, count(*) OVER (PARTITION BY item_id) AS total FROM z WHERE similarity >= 0.2) SELECT item_id, doc_id, similarity, CAST(rank AS INTEGER) AS rank, total FROM r WHERE rank BETWEEN 6 AND 10")
 def m14_second_page(t):
-    """The second page of five, with how many documents pass the threshold."""
+    """The second page of five, with how many documents of the window pass the threshold."""
     hits = _hybrid(t).where("similarity >= 0.2").withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
     return s.top(hits, "item_id", 5, "similarity", page=2).select("item_id", "doc_id", "similarity", "rank", "total")
 
@@ -156,7 +181,7 @@ def m5_m6_fusion_with_features(t):
 @query(f"WITH {_BASE}, s AS (SELECT item_id, doc_id, round(sum({_BM25}), 6) AS score FROM h GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, max(CASE WHEN rank = 1 THEN score END) AS top1, max(CASE WHEN rank = 2 THEN score END) AS top2, round(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END), 6) AS gap, round(avg(CASE WHEN rank <= 3 THEN score END), 6) AS mean3, CASE WHEN max(CASE WHEN rank = 1 THEN score END) < 5 THEN 'none' WHEN max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) >= 1 THEN 'single' ELSE 'gallery' END AS mode FROM r GROUP BY item_id")
 def m23_wn8_answer_gate(t):
     """Whether an item has one clear hit, several or none: from its best scores, their gap and mean."""
-    ranked = s.top(_bm25(t).select("item_id", "doc_id", F.round("score", 6).alias("score")), "item_id", 3)
+    ranked = s.top(_best(t, 3).select("item_id", "doc_id", "score"), "item_id", 3)
     at = lambda n: F.max(F.when(F.col("rank") == n, F.col("score")))
     g = ranked.groupBy("item_id").agg(at(1).alias("top1"), at(2).alias("top2"), F.round(F.avg("score"), 6).alias("mean3"))
     g = g.withColumn("gap", F.round(F.col("top1") - F.col("top2"), 6))

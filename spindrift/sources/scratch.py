@@ -36,6 +36,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its input comes in fewer parts, such as one small file; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table that ``materialize`` wrote, once nothing reads it any more; other tables are left alone."""
     spark = df.sparkSession
