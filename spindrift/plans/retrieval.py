@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..operators import fulltext as ft
 from ..operators import pruned as pr
 from ..operators import search as s
 from ..sources.scratch import materialize
@@ -72,6 +73,40 @@ def w4_term_weights(t):
     return terms.select("item_id", "term", F.round(F.col("raw") / total, 9).alias("weight"))
 
 
+def _fields():
+    """A document's fields, their text and boost; the title is the first sentence."""
+    return {"title": (F.regexp_extract("text", r"^[^.?!\n]*", 0), 10), "content": (F.col("text"), 2), "tag": (F.concat_ws(" ", "source", "lang"), 30)}
+
+
+_FIELD_SQL = rf"""WITH d AS (SELECT doc_id, 'title' AS field, 10 AS boost, regexp_extract_all(lower(regexp_extract(text, '^[^.?!\n]*')), '{TOKEN}') AS w FROM documents UNION ALL
+ SELECT doc_id, 'content', 2, regexp_extract_all(lower(text), '{TOKEN}') FROM documents UNION ALL SELECT doc_id, 'tag', 30, regexp_extract_all(lower(concat_ws(' ', source, lang)), '{TOKEN}') FROM documents),
+w AS (SELECT doc_id, field, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d WHERE len(w) > 0), l AS (SELECT doc_id, field, len(w) AS dl FROM d WHERE len(w) > 0), c AS (SELECT field, count(*) AS n, avg(dl) AS avgdl FROM l GROUP BY field),
+p AS (SELECT doc_id, field, term, count(*) AS tf FROM w GROUP BY ALL), i AS (SELECT field, term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p JOIN c USING (field) GROUP BY field, term),
+qw AS (SELECT item_id, unnest(x) AS term, generate_subscripts(x, 1) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '{TOKEN}') AS x FROM benchmark)),
+wr AS (SELECT item_id, term, count(*) * ({_WEIGHT}) AS raw FROM qw GROUP BY item_id, term), wt AS (SELECT item_id, term AS word, raw / sum(raw) OVER (PARTITION BY item_id) AS weight FROM wr),
+cl AS (SELECT item_id, word, word AS term, weight FROM wt UNION ALL SELECT item_id, word, word || 's', weight / 4 FROM wt UNION ALL SELECT item_id, word, left(word, -1), weight / 4 FROM wt WHERE length(word) > 1 AND word LIKE '%s'),
+ht AS (SELECT item_id, doc_id, field, word, weight * idf * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM cl JOIN p USING (term) JOIN i USING (field, term) JOIN l USING (doc_id, field) JOIN c USING (field)),
+ph AS (SELECT DISTINCT a.item_id, a.term AS a, b.term AS b FROM qw a JOIN qw b ON a.item_id = b.item_id AND b.pos = a.pos + 1),
+pm AS (SELECT x.a, x.b, u.doc_id, u.field, u.pos, min(abs(o.o)) AS m FROM (SELECT DISTINCT a, b FROM ph) x JOIN w u ON u.term = x.a CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) o(o) JOIN w v ON v.doc_id = u.doc_id AND v.field = u.field AND v.pos = u.pos + 1 + o.o AND v.term = x.b WHERE o.o <> -1 GROUP BY ALL),
+pf AS (SELECT a, b, doc_id, field, sum(1 / (1 + m)) AS tf FROM pm GROUP BY ALL),
+hp AS (SELECT ph.item_id, pf.doc_id, pf.field, 2 * greatest(wa.weight, wb.weight) * (ia.idf + ib.idf) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM ph JOIN pf USING (a, b) JOIN l ON l.doc_id = pf.doc_id AND l.field = pf.field JOIN c ON c.field = pf.field
+ JOIN wt wa ON wa.item_id = ph.item_id AND wa.word = a JOIN wt wb ON wb.item_id = ph.item_id AND wb.word = b JOIN i ia ON ia.field = pf.field AND ia.term = a JOIN i ib ON ib.field = pf.field AND ib.term = b),
+s AS (SELECT item_id, doc_id, field, round(sum(s) * CASE field WHEN 'title' THEN 10 WHEN 'content' THEN 2 ELSE 30 END, 6) AS score FROM (SELECT item_id, doc_id, field, s FROM ht UNION ALL SELECT * FROM hp) GROUP BY item_id, doc_id, field),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, field) = 1),
+m AS (SELECT item_id, doc_id, count(DISTINCT word) AS matched FROM ht GROUP BY ALL), k AS (SELECT item_id, count(*) AS words FROM wt GROUP BY item_id)
+"""
+
+
+@query(_FIELD_SQL + "SELECT item_id, doc_id, field, matched, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM b JOIN m USING (item_id, doc_id) JOIN k USING (item_id) WHERE matched >= floor(words * 0.3) WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10")
+def m1_w7_best_fields(t):
+    """Title, content and tag searched at once: words, their forms with and without s as synonyms, neighbouring words as phrases with two moves."""
+    items = t("benchmark")
+    words = items.select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    forms = F.array(F.concat("term", F.lit("s")), F.when(F.length("term") > 1, F.regexp_extract("term", "^(.*)s$", 1)))
+    synonyms = words.select("term", F.explode(forms).alias("synonym")).where("synonym <> ''")
+    return s.top(ft.best_fields(items, "item_id", "text", t("documents"), "doc_id", _fields(), synonyms, slop=2, least_share=0.3), "item_id", 10)
+
+
 #: How many documents the first stage hands to the second: about 64, as whole pages of ten.
 _WINDOW = s.rerank_window(10)
 _SIM = rf"""WITH {_BASE}, w AS (SELECT item_id, term, {_WEIGHT} AS raw FROM q), tot AS (SELECT item_id, sum(raw) AS total FROM w GROUP BY item_id),
