@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import vectors as vx
+from ..operators import cells as cl
 from ..operators import fulltext as ft
 from ..operators import pruned as pr
 from ..operators import search as s
@@ -196,12 +196,11 @@ def m26_prompt_packing(t):
 s AS (SELECT query_id, v.vec_id, round(list_inner_product(qe::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_inner_product(qe::DOUBLE[], qe::DOUBLE[]) * list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS similarity FROM q JOIN embeddings v ON q.label = v.label AND query_id <> v.vec_id)
 SELECT query_id, vec_id, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WHERE similarity >= 0.1 WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, vec_id) QUALIFY row_number() OVER w <= 5""")
 def m4_dense_match(t):
-    """Cosine neighbours within a filter (the label), with a floor."""
+    """Cosine neighbours within a filter (the label), with a floor, through a cell index."""
     v = t("embeddings")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), "label")
-    pairs = q.join(v, "label").where("query_id <> vec_id")
-    pairs = pairs.select("query_id", "vec_id", F.round(vx.cosine(F.col("qe"), F.col("embedding")), 6).alias("similarity"))
-    return s.top(pairs.where("similarity >= 0.1"), "query_id", 5, "similarity", "vec_id")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    found = cl.neighbours(asked, v, "query_id", "vec_id", "embedding", 5, "label", 0.1)
+    return s.top(found, "query_id", 5, "similarity", "vec_id")
 
 
 @query(f"WITH {_BASE}, b AS (SELECT item_id, doc_id, sum({_BM25}) AS bm FROM h GROUP BY ALL), s AS (SELECT item_id, doc_id, round(0.05 * bm + coalesce(quality, 0) * 10.0 - coalesce(toxic, 0), 6) AS score FROM b LEFT JOIN labels USING (doc_id)) SELECT item_id, doc_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10")
