@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import answers, chunks, enrich, graphs, relations, retrieval, surveyed  # noqa: F401  registration
+from .plans import answers, chunks, enrich, graphs, relations, retrieval, surveyed, tokens  # noqa: F401  registration
 from .plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "m14_hybrid_retrieval"
