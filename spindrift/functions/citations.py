@@ -27,11 +27,16 @@ MISSPELT = (
     r"(?<!\w)(?P<n>\d{1,4})\s*={2,}(?=\s|$|[)\]】,，。.!?:;；：])",
 )
 MARK = r"##(\d+)\$\$"
-#: What is left of a mark that could not be mended, and letters that need a space beside a mark.
-LEFTOVER, LETTER = r"(?i)#\s*ID\s*#", r"[A-Za-z一-鿿]"
+#: What is left of a mark that could not be mended, and where marks get a space, with what stands there then.
+LEFTOVER = r"(?i)#\s*ID\s*#"
+SPACED = (
+    (r"\$\$(?=##\d+\$\$)", "$$ "),
+    (r"(##\d+\$\$)(?=[A-Za-z\u4e00-\u9fff])", r"\1 "),
+    (r"(?<=[A-Za-z\u4e00-\u9fff])(?=##\d+\$\$)", " "),
+)
 
 _MISSPELT = [re.compile(p) for p in MISSPELT]
-_SPACES = [(re.compile(p), to) for p, to in ((r"\$\$(?=##\d+\$\$)", "$$ "), (rf"(##\d+\$\$)(?={LETTER})", r"\1 "), (rf"(?<={LETTER})(?=##\d+\$\$)", " "))]
+_SPACES = [(re.compile(p), to) for p, to in SPACED]
 
 
 def mend(answer: str, chunks: int) -> str:

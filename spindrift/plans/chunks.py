@@ -141,9 +141,12 @@ def w9_latin_share(t):
     return t("documents").select("doc_id", F.round(share, 9).alias("latin_share"), F.when(share >= 0.8, 1).otherwise(0).alias("english"))
 
 
-@query(r"""WITH c AS (SELECT p_partkey, unnest([p_name, p_brand, p_type, CAST(p_size AS VARCHAR), strftime(DATE '2020-01-01' + CAST(p_size AS INTEGER), '%Y-%m-%d')]) AS cell, unnest(['name', 'brand', 'type', 'size', 'day']) AS col FROM part)
-SELECT col, CASE WHEN regexp_matches(cell, '^(20|19)[0-9]{2}[-/][0-9]{1,2}[-/][0-9]{1,2}$') OR regexp_matches(cell, '^(20|19)[0-9]{2}$') THEN 'date' WHEN regexp_matches(cell, '^[0-9.,+%/ -]+$') THEN 'number' WHEN regexp_matches(cell, '^[0-9A-Z/\._~-]+$') THEN 'code' WHEN regexp_matches(cell, '^[A-Z]*[a-z'' -]+$') THEN 'english' WHEN regexp_matches(cell, '^[0-9.,+-]+[0-9A-Za-z/$%<>()'' -]+$') THEN 'mixed' WHEN length(cell) = 1 THEN 'single'
- WHEN len(regexp_extract_all(lower(cell), '[\p{L}\p{N}_]+')) > 3 AND len(regexp_extract_all(lower(cell), '[\p{L}\p{N}_]+')) < 12 THEN 'text' WHEN len(regexp_extract_all(lower(cell), '[\p{L}\p{N}_]+')) >= 12 THEN 'long' ELSE 'other' END AS kind, count(*) AS n FROM c GROUP BY ALL""")
+_KIND_SQL = " ".join(f"WHEN regexp_matches(cell, '{pattern.replace("'", "''")}') THEN '{label}'" for pattern, label in tx.CELL_KINDS)
+
+
+@query(rf"""WITH c AS (SELECT p_partkey, unnest([p_name, p_brand, p_type, CAST(p_size AS VARCHAR), strftime(DATE '2020-01-01' + CAST(p_size AS INTEGER), '%Y-%m-%d')]) AS cell, unnest(['name', 'brand', 'type', 'size', 'day']) AS col FROM part),
+w AS (SELECT *, len(list_filter(regexp_extract_all(lower(cell), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 1)) AS words FROM c)
+SELECT col, CASE {_KIND_SQL} WHEN words > 11 THEN 'Lx' WHEN words > 3 THEN 'Tx' ELSE 'Ot' END AS kind, count(*) AS n FROM w GROUP BY ALL""")
 def w23_cell_types(t):
     """How many cells of each column are of each kind."""
     cells = {"name": F.col("p_name"), "brand": F.col("p_brand"), "type": F.col("p_type"), "size": F.col("p_size").cast("string"), "day": F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")), "yyyy-MM-dd")}
