@@ -54,12 +54,15 @@ def given_up(steps: DataFrame, query: str, floors: DataFrame | None) -> DataFram
 
 def read_blocks(steps: DataFrame, held: DataFrame, query: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(query, base), the sum of a query's levels, and (query, key, over, part): by how much the postings read exceed their levels, and their sum."""
-    level = steps.where("given").groupBy(query, "term").agg(F.max(F.col("idf") * F.col("top")).alias("level"))
-    base = steps.select(query).distinct().join(level.groupBy(query).agg(F.sum("level").alias("base")), query, "left")
-    read = steps.where(~F.col("given")).select(query, "term", "block", "idf").join(level, [query, "term"], "left")
-    found = read.join(held.select(key, "term", "block", "share"), ["term", "block"]).withColumn("impact", F.col("idf") * F.col("share"))
-    sums = F.sum(F.col("impact") - F.coalesce("level", F.lit(0.0))), F.sum("impact")
-    return base.select(query, F.coalesce("base", F.lit(0.0)).alias("base")), found.groupBy(query, key).agg(sums[0].alias("over"), sums[1].alias("part"))
+    given = lambda c: F.coalesce(F.max(F.when(F.col("given"), c)), F.lit(0.0))
+    # the blocks given up are a word's weakest
+    read = steps.groupBy(query, "term").agg(F.first("idf").alias("idf"), given(F.col("block") + 1).alias("_from"), given(F.col("idf") * F.col("top")).alias("level"))
+    base = read.groupBy(query).agg(F.sum("level").alias("base"))
+    # a row for each word of a query, so that often one side is small: then postings stay with their chunk and are summed up there
+    found = held.select(key, "term", "block", "share").join(read, "term").where(F.col("block") >= F.col("_from"))
+    found = found.withColumn("impact", F.col("idf") * F.col("share"))
+    sums = F.sum(F.col("impact") - F.col("level")), F.sum("impact")
+    return base, found.groupBy(query, key).agg(sums[0].alias("over"), sums[1].alias("part"))
 
 
 def survivors(terms: DataFrame, held: DataFrame, query: str, key: str, k: int) -> DataFrame:
