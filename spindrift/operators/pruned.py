@@ -18,6 +18,8 @@ from .search import query_postings
 
 #: Blocks of a word's postings; the share of a query's postings that is read first; the share of the threshold that levels may take then.
 BLOCKS, FIRST, MARGIN = 32, 0.3, 0.6
+#: Words of all queries, in rows, that may be sent to every task; more are shuffled with the postings.
+SENT = 200_000
 #: Scores nearer than this may be equal once they are rounded.
 ROUNDING = 2e-6
 
@@ -58,7 +60,8 @@ def read_blocks(steps: DataFrame, held: DataFrame, query: str, key: str) -> tupl
     # the blocks given up are a word's weakest
     read = steps.groupBy(query, "term").agg(F.first("idf").alias("idf"), given(F.col("block") + 1).alias("_from"), given(F.col("idf") * F.col("top")).alias("level"))
     base = read.groupBy(query).agg(F.sum("level").alias("base"))
-    # a row for each word of a query, so that often one side is small: then postings stay with their chunk and are summed up there
+    if read.count() <= SENT:  # postings stay with their chunk and are summed up there
+        read = F.broadcast(read)
     found = held.select(key, "term", "block", "share").join(read, "term").where(F.col("block") >= F.col("_from"))
     found = found.withColumn("impact", F.col("idf") * F.col("share"))
     sums = F.sum(F.col("impact") - F.col("level")), F.sum("impact")
