@@ -89,7 +89,12 @@ def survivors(terms: DataFrame, held: DataFrame, query: str, key: str, k: int) -
 
 
 def score_pairs(pairs: DataFrame, terms: DataFrame, held: DataFrame, query: str, key: str) -> DataFrame:
-    """The words of each pair's query that its chunk has, with the columns of ``terms`` and ``held``."""
+    """The words of each pair's query that its chunk has, with the columns of ``terms`` and ``held``.
+
+    Few words are sent to the tasks: then pairs meet the postings of their chunk and only hits go on. Many words are paired off first.
+    """
+    if terms.count() <= SENT:
+        return held.join(pairs, key).join(F.broadcast(terms), [query, "term"])
     return pairs.join(terms, query).join(held, [key, "term"])
 
 
