@@ -1,29 +1,31 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree of style nodes (the path of block elements with their classes). A node's composite
-importance joins the entropy of its presentation (the sequences of child elements that its pages show) with the mean entropy of
-the contents below it (the same text on every page: 0, another text on each: 1). Branches of low importance are cut from each page,
-inside its article as well, with those whose element or class says that they are navigation, adverts, forms and the like. A node
-that a host shows too seldom is judged by its path on all hosts.
+The pages of a host are merged into one tree of style nodes (the path of block elements with their classes). A node shows, on each
+page, a sequence of child elements (its presentation) and texts (its contents). Where the sequences differ from page to page their
+entropy is high, and so it is with the texts. A branch whose presentation, at its best node, is far below that of its best sibling is
+a menu, footer or advert beside the article; one whose contents repeat, while a sibling's differ, is a notice. Both are cut, with
+what the element or class says to be navigation, adverts, forms and the like, which the tree cannot always tell.
 """
 
 from __future__ import annotations
 
+import collections
 import html
 import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 from .flatbytes import pieces
 
-#: A branch below this importance goes; nodes with fewer showings tell too little; weight of the contents below a node.
-LEAST, PAGES, BELOW = 0.2, 8, 0.9
-#: Parts of a host, and of one with more pages than so many, for each such number of pages.
-SALTS, HOT_PAGES = 16, 100_000
+#: A branch goes below this share of its best sibling's presentation; and below this share of its contents' entropy.
+FORM, WORDS = 0.5, 0.2
+#: The pool of all hosts weighs as much in a node's entropy as so many showings of its own; entropy 1 weighs so many in the pool.
+PRIOR, UNSEEN = 16, 2
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -43,22 +45,29 @@ _NAMES = (
     r"|pagination|pager|toolbar|skip|navigation|contentinfo|complementary|search)"
 )
 _NOISE_NAME = re.compile(rf"(?:^|[\s_-]){_NAMES}(?:$|[\s_-])", re.I)
-#: Inside an article the name must begin so: market-share is a matter of the article.
-_NOISE_INSIDE = re.compile(rf"(?:^|\s){_NAMES}(?:$|[\s_-])", re.I)
+#: Inside an article the class must be such a name or a box of it: related-posts goes, related-work and market-share are the article's.
+_BOXES = r"(?:[\s_-](?:list|items?|box|block|bar|area|section|container|wrap(?:per)?|inner|body|threads?|posts?|articles?|links?|buttons?|form|\d+))*"
+_NOISE_INSIDE = re.compile(rf"(?:^|\s){_NAMES}{_BOXES}(?:$|\s)", re.I)
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:main|article|post-?(?:body|content)|entry-?content|article-?body)(?:$|[\s_-])", re.I)
 
+#: What parsing adds to a page's page_id and url.
+_PARSED = (
+    "host string, key string, at array<int>, texts array<string>, paths array<string>, noise array<boolean>, "
+    "nodes array<struct<path: string, main: int, kind: string, value: bigint, n: bigint>>"
+)
+
 
-def blocks(page: str) -> tuple[list[tuple[str, bool, int, str]], list[tuple[str, str]]]:
-    """The page's blocks in order as (path, noise, main, text), and its elements as (path, child elements).
+def blocks(page: str) -> tuple[list[tuple[str, bool, str]], list[tuple[str, int, str]]]:
+    """The page's blocks in order as (path, noise, text), and its elements as (path, main, child elements).
 
-    ``main`` is the depth of the outermost article or main element around the block, 0 if there is none.
+    ``main`` is 2 below an article or main element, 1 at the outermost one, else 0.
 
     Inline elements belong to their block; br is white space. Unclosed elements end where their parent does, and p, li, cells and
     the like also where the next begins.
     """
-    found: list[tuple[str, bool, int, str]] = []
-    styles: list[tuple[str, str]] = []
+    found: list[tuple[str, bool, str]] = []
+    styles: list[tuple[str, int, str]] = []
     stack: list[list] = [["", False, 0, [], ""]]  # path, noise, main, children, tag
     text: list[str] = []
 
@@ -67,11 +76,11 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, int, str]], list[tuple[str,
             said = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if said:
-                found.append((stack[-1][0], stack[-1][1], stack[-1][2], said))
+                found.append((stack[-1][0], stack[-1][1], said))
 
     def close() -> None:
-        path, _, _, children, _ = stack.pop()
-        styles.append((path, " ".join(c for i, c in enumerate(children) if not i or c != children[i - 1])))
+        path, _, main, children, _ = stack.pop()
+        styles.append((path, main, " ".join(children)))
 
     at = 0
     for m in _TAG.finditer(page):
@@ -103,7 +112,7 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, int, str]], list[tuple[str,
         path, noise, main, children, _ = stack[-1]
         children.append(label)
         called = name in ("article", "main") or bool(names and _MAIN_NAME.search(names))
-        inside = main or (len(stack) if called else 0)
+        inside = 2 if main else int(called)
         whole = name in ("html", "body", "main") or name == "article" and bool(_MAIN_NAME.search(names))
         noise = noise or name in _NOISE or bool(names and (_NOISE_INSIDE if main else _NOISE_NAME).search(names) and not whole)
         noise = noise or not main and (name == "header" or bool(names and _HEADER_NAME.search(names) and name not in ("html", "body")))
@@ -116,113 +125,124 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, int, str]], list[tuple[str,
     return found, styles
 
 
-def _paths(path: str) -> list[str]:
-    parts = path.split("/")
-    return ["/".join(parts[:i]) for i in range(2, len(parts) + 1)]
+def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, key, at, texts, paths, noise, nodes) of each page, parsed once: text i of the page stands at ``paths[at[i]]``.
 
-
-def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, path, importance) of each style node that has text below it; pages: (host, html).
-
-    A node with fewer than ``PAGES`` showings on its host has the importance of its path on all hosts together, or 1 if there are
-    fewer even there.
-
-    Presentation: -sum p log_m p over the node's different child sequences on its m showings. Contents: the same over the different
-    texts of a leaf. Composite: (1 - BELOW) * presentation + BELOW * mean contents below. Only counts are shuffled; they are
-    summed up before, so a host with very many pages costs few rows.
+    ``paths`` are the page's different paths with text, in order; ``noise`` marks the texts that a name cuts. ``nodes`` are the counts of
+    what the page shows: structs of path, main, kind (P presentation, C contents), value (a hash) and n. ``key`` is equal for equal rows.
     """
+    given = {f.name: f.dataType.simpleString() for f in pages.schema if f.name in ("page_id", "url")}
+    names = ["page_id", "url", "host", "key", "at", "texts", "paths", "noise", "nodes"]
+    node = pa.struct([("path", pa.string()), ("main", pa.int32()), ("kind", pa.string()), ("value", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
-            out: dict[tuple, int] = {}
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            rows: list[tuple] = []
+            for page in batch.column("html").to_pylist():
                 found, styles = blocks(page or "")
-                for path, noise, _, said in found:
-                    if not noise:
-                        key = (host, path, "C", hash_text(said))
-                        out[key] = out.get(key, 0) + 1
-                for path, children in styles:
-                    key = (host, path, "P", hash_text(children))
-                    out[key] = out.get(key, 0) + 1
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(out.values(), pa.int64())], ["host", "path", "kind", "value", "n"]
-            )
-
-    shown = pages.mapInArrow(run, "host string, path string, kind string, value long, n long")
-    # written once: each of the branches below would parse all pages again
-    shown = materialize(shown.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n")), "style-trees")
-    nodes = shown.groupBy("host", "path", "kind").agg(*_entropy())
-    own = _importance(nodes, "host")
-    path = F.xxhash64("path").alias("node")
-    pooled = shown.groupBy(path, "kind", "value").agg(F.sum("n").alias("n")).groupBy("node", "kind").agg(*_entropy())
-    paths = nodes.select("path", "kind").distinct()
-    pooled = _importance(paths.select("path", path, "kind").join(pooled, ["node", "kind"])).where(F.col("pages") >= PAGES)
-    seldom = own.where(F.col("pages") < PAGES).select("host", "path").join(pooled.select("path", "importance"), "path", "left")
-    seldom = seldom.select("host", "path", F.coalesce("importance", F.lit(1.0)).alias("importance"))
-    return own.where(F.col("pages") >= PAGES).select("host", "path", "importance").unionByName(seldom)
+                shown = collections.Counter((path, main, "P", hash_text(children)) for path, main, children in styles)
+                shown.update((path, 0, "C", hash_text(said)) for path, _, said in found)
+                places = {path: i for i, path in enumerate(dict.fromkeys(b[0] for b in found))}
+                nodes = [dict(path=p, main=m, kind=k, value=v, n=n) for (p, m, k, v), n in shown.items()]
+                rows.append(([places[b[0]] for b in found], [b[2] for b in found], list(places), [b[1] for b in found], nodes))
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(node))
+            columns = [batch.column(c) for c in ("page_id", "url", "host", "key")]
+            columns += [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    page = F.col("html").cast("string")
+    same = [F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in (F.col("page_id").cast("string"), F.col("url").cast("string"), page)]
+    rows = pages.select("page_id", "url", host.alias("host"), F.md5(F.concat_ws("\x1f", *same)).alias("key"), page.alias("html"))
+    return rows.mapInArrow(run, f"page_id {given['page_id']}, url {given['url']}, {_PARSED}")
+
+
+def style_trees(pages: DataFrame) -> DataFrame:
+    """(host, path, form, own, words, holds, inside) of each style node of the ``parsed`` pages.
+
+    The entropy of a node's m showings is -sum p log_m p over the different values it shows. That of its path on all hosts weighs as
+    ``PRIOR`` showings, and within it entropy 1 as ``UNSEEN``, so few showings tell little. ``own`` is the entropy of the node's
+    sequences of children, ``form`` the largest ``own`` at or below it, ``words`` the mean entropy of the texts at and below it (null
+    if none). ``holds`` says that an article or main element is at or below the node, ``inside`` that the node is below one.
+    Counts are summed up before they are shuffled, so a host with very many pages costs few rows.
+    """
+    shown = pages.select("host", F.explode("nodes").alias("s")).select("host", "s.*")
+    shown = materialize(shown.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"), F.max("main").alias("main")), "style-trees")
+    nodes = shown.groupBy("host", "path", "kind").agg(*_entropy(), F.max("main").alias("main"))
+    pool = shown.groupBy("path", "kind", "value").agg(F.sum("n").alias("n")).groupBy("path", "kind").agg(*_entropy())
+    pool = pool.select("path", "kind", (((F.col("m") - 1) * F.col("h") + UNSEEN) / (F.col("m") - 1 + UNSEEN)).alias("pool"))
+    shrunk = ((F.col("m") - 1) * F.col("h") + PRIOR * F.col("pool")) / (F.col("m") - 1 + PRIOR)
+    nodes = nodes.join(pool, ["path", "kind"]).withColumn("h", shrunk)
+    form, words = F.when(F.col("kind") == "P", F.col("h")), F.when(F.col("kind") == "C", F.col("h") * F.col("m"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    here = F.col("node") == F.col("path")
+    trees = nodes.withColumn("node", F.explode(above)).groupBy("host", F.col("node").alias("path")).agg(
+        F.max(form).alias("form"),
+        F.coalesce(F.max(F.when(here, form)), F.lit(0.0)).alias("own"),
+        (F.sum(words) / F.sum(F.when(F.col("kind") == "C", F.col("m")))).alias("words"),
+        (F.max("main") > 0).alias("holds"),
+        F.coalesce(F.max(F.when(here, F.col("main"))) == 2, F.lit(False)).alias("inside"),
+    )
+    return trees.withColumn("form", F.coalesce("form", F.lit(0.0)))
+
+
+def low_branches(trees: DataFrame) -> DataFrame:
+    """(host, path, why) of the branches that the tree cuts; why is form or words.
+
+    Form: the branch shows less than ``FORM`` of its best sibling's. A parent whose own sequences reach that share holds running
+    text itself, so its parts (headings, notes) aren't judged by form; nor is what lies in an article or holds one. Words: the texts
+    have less than ``WORDS`` of the entropy of its best sibling's; an article itself is no such notice, what is in it can be.
+    """
+    named = trees.where("path <> ''").withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
+    best = named.groupBy("host", "parent").agg(F.max("form").alias("best_form"), F.max("words").alias("best_words"))
+    best = best.join(trees.select("host", F.col("path").alias("parent"), F.col("own").alias("above")), ["host", "parent"])
+    judged = named.join(best, ["host", "parent"])
+    form = (F.col("above") < FORM * F.col("best_form")) & (F.col("form") < FORM * F.col("best_form")) & ~F.col("holds") & ~F.col("inside")
+    words = (F.col("words") < WORDS * F.col("best_words")) & (F.col("inside") | ~F.col("holds"))
+    return judged.select("host", "path", F.when(words, "words").when(form, "form").alias("why")).where("why is not null")
 
 
 def _entropy() -> tuple[Column, Column]:
-    """Entropy h and showings m of a node from the counts n of what it shows."""
+    """Entropy h and showings m of a node from the counts n of what it shows; 1 for a single showing."""
     spread = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
     return F.when(F.sum("n") > 1, spread / F.log(F.sum("n"))).otherwise(1.0).alias("h"), F.sum("n").alias("m")
 
 
-def _importance(nodes: DataFrame, *keys: str) -> DataFrame:
-    """(keys..., path, pages, importance) from the entropies of presentations (kind P) and contents (kind C)."""
-    own = nodes.where("kind = 'P'").select(*keys, "path", F.col("h").alias("presentation"), F.col("m").alias("pages"))
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    leaves = nodes.where("kind = 'C' and path <> ''").select(*keys, F.explode(above).alias("path"), "h", "m")
-    below = leaves.groupBy(*keys, "path").agg((F.sum(F.col("h") * F.col("m")) / F.sum("m")).alias("contents"))
-    importance = (1 - BELOW) * F.col("presentation") + BELOW * F.col("contents")
-    return own.join(below, [*keys, "path"]).select(*keys, "path", "pages", importance.alias("importance"))
+def hash_text(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def hash_text(text: str) -> int:
-    import xxhash
+def cut_places(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """(key, cut): the indexes of a ``parsed`` page's paths that lie at or below a low branch of its host; pages without any are left out.
 
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+    Pages of a host with equal paths are looked up once, and only keys and indexes travel, so neither a large host nor long pages
+    meet in one task.
+    """
+    layout = F.xxhash64(F.array_join("paths", "\n")).alias("layout")
+    layouts = pages.select("host", layout, "paths").distinct().select("host", "layout", F.posexplode("paths").alias("at", "path"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    layouts = layouts.where("path <> ''").select("host", "layout", "at", F.explode(above).alias("path"))
+    cut = layouts.join(low, ["host", "path"]).groupBy("host", "layout").agg(F.collect_set("at").alias("cut"))
+    return pages.select("key", "host", layout).distinct().join(cut, ["host", "layout"]).select("key", "cut")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html; further columns are not read).
 
-    A null or empty page has the empty text. The host is the url's authority; pages without a url are one host. If a page has an
-    article or main element, its blocks are the candidates, else all blocks are. Named noise and the style tree's branches of low
-    importance are cut from either; of an article, the branches are those below its element, and where they are all it has, as
-    on a host of copies of one page, it stays. Repeated rows stay repeated.
+    A null or empty page has the empty text. The host is the url's authority; pages without a url are one host. The blocks outside
+    the style tree's low branches and outside named noise are the text; a page of which all the other blocks are in low branches
+    keeps them. Repeated rows stay repeated.
     """
-    host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", host.alias("host"), F.col("html").cast("string"))
-    low = style_trees(rows.select("host", "html")).where(F.col("importance") < LEAST)
-    hot = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PAGES)
-    hot = F.broadcast(hot.select("host", (F.ceil(F.col("n") / HOT_PAGES) * SALTS).cast("int").alias("salts")))  # at most a row for HOT_PAGES pages
-    salts = F.coalesce("salts", F.lit(SALTS))
-    low = low.groupBy("host").agg(F.collect_set("path").alias("low")).join(hot, "host", "left")
-    low = low.select("host", "low", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    rows = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), salts).cast("int"))
-    rows = rows.join(low, ["host", "salt"], "left")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "html"):
-            texts = []
-            for page, cut in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
-                found = [b for b in blocks(page or "")[0] if not b[1]]
-                within = [b for b in found if b[2]]
-                found = within or found
-                if cut:
-                    cut = set(cut)
-                    found = [b for b in found if not any(p in cut for p in _paths(b[0])[b[2] :])] or within
-                texts.append("\n".join(b[3] for b in found))
-            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema if f.name in ("page_id", "url")}
-    schema = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
-    return rows.select("page_id", "url", "html", "low").mapInArrow(run, schema)
+    pages = materialize(parsed(pages), "pages-parsed")  # each of the branches below would parse all pages again
+    cut = cut_places(pages, low_branches(style_trees(pages)).select("host", "path"))
+    blocks_ = F.filter(F.arrays_zip("at", "texts", "noise"), lambda b: ~b["noise"])
+    kept = F.when(F.col("cut").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("cut", b["at"])))
+    kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
+    rows = pages.select("page_id", "url", "key", blocks_.alias("blocks")).join(cut, "key", "left")
+    text = F.array_join(F.transform(kept, lambda b: b["texts"]), "\n")
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_html_extraction(spark, sf_dir: str) -> DataFrame:

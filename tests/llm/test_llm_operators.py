@@ -367,9 +367,7 @@ def test_style_tree_cuts_inside_articles_and_on_small_hosts(spark):
     assert got == {i: f"Head {i}\nStory {i} of {i * 7}" for i in range(16)} | {i: "One text" for i in range(20, 30)}
 
 
-def test_large_hosts_are_salted_by_their_pages_and_names_inside_articles(spark, monkeypatch):
-    monkeypatch.setattr(html_extract, "HOT_PAGES", 5)
-    monkeypatch.setattr(html_extract, "SALTS", 2)
+def test_large_and_small_hosts_and_names_inside_articles(spark):
     body = "<body><article><h1>Head {0}</h1><div class='market-share'><p>Share {0}</p></div><div class='share'><p>Send {0}</p></div><div class=box><p>Same</p></div></article>"
     rows = [(i, f"http://{'big' if i < 30 else 'h' + str(i)}.x/p", body.format(i)) for i in range(40)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
