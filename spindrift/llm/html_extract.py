@@ -26,6 +26,8 @@ from .flatbytes import pieces
 FORM, WORDS = 0.5, 0.2
 #: The pool of all hosts weighs as much in a node's entropy as so many showings of its own; entropy 1 weighs so many in the pool.
 PRIOR, UNSEEN = 16, 2
+#: Bytes of cuts that are sent to the tasks.
+LOOKUP = 64 << 20
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -120,7 +122,7 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, str]], list[tuple[str, int,
     if at < len(page):
         text.append(page[at:])
     flush()
-    while len(stack) > 1:
+    while stack:
         close()
     return found, styles
 
@@ -213,19 +215,24 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def cut_places(pages: DataFrame, low: DataFrame) -> DataFrame:
-    """(key, cut): the indexes of a ``parsed`` page's paths that lie at or below a low branch of its host; pages without any are left out.
+def with_cuts(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """The ``parsed`` pages with ``cut``: the indexes of their paths that lie at or below a low branch of their host, null if none do.
 
-    Pages of a host with equal paths are looked up once, and only keys and indexes travel, so neither a large host nor long pages
-    meet in one task.
+    Pages of a host with equal paths are looked up once. Up to ``LOOKUP`` bytes the cuts are sent to the pages' tasks, so that no text
+    is shuffled; beyond that only keys and indexes meet by host, and texts by the page's key, so no large host meets in one task.
     """
-    layout = F.xxhash64(F.array_join("paths", "\n")).alias("layout")
-    layouts = pages.select("host", layout, "paths").distinct().select("host", "layout", F.posexplode("paths").alias("at", "path"))
+    pages = pages.withColumn("layout", F.xxhash64(F.array_join("paths", "\n")))
+    layouts = pages.select("host", "layout", "paths").distinct().select("host", "layout", F.posexplode("paths").alias("at", "path"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     layouts = layouts.where("path <> ''").select("host", "layout", "at", F.explode(above).alias("path"))
-    cut = layouts.join(low, ["host", "path"]).groupBy("host", "layout").agg(F.collect_set("at").alias("cut"))
-    return pages.select("key", "host", layout).distinct().join(cut, ["host", "layout"]).select("key", "cut")
+    cuts = layouts.join(low, ["host", "path"]).groupBy("host", "layout").agg(F.collect_set("at").alias("cut"))
+    cuts = materialize(cuts, "pages-cuts")
+    size = cuts.agg(F.sum(64 + F.length("host") + 4 * F.size("cut"))).first()[0] or 0
+    if size <= LOOKUP:
+        return pages.join(F.broadcast(cuts), ["host", "layout"], "left")
+    keys = pages.select("key", "host", "layout").distinct().join(cuts, ["host", "layout"]).select("key", "cut")
+    return pages.join(keys, "key", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -236,11 +243,11 @@ def extract(pages: DataFrame) -> DataFrame:
     keeps them. Repeated rows stay repeated.
     """
     pages = materialize(parsed(pages), "pages-parsed")  # each of the branches below would parse all pages again
-    cut = cut_places(pages, low_branches(style_trees(pages)).select("host", "path"))
+    pages = with_cuts(pages, low_branches(style_trees(pages)).select("host", "path"))
     blocks_ = F.filter(F.arrays_zip("at", "texts", "noise"), lambda b: ~b["noise"])
     kept = F.when(F.col("cut").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("cut", b["at"])))
     kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
-    rows = pages.select("page_id", "url", "key", blocks_.alias("blocks")).join(cut, "key", "left")
+    rows = pages.select("page_id", "url", "cut", blocks_.alias("blocks"))
     text = F.array_join(F.transform(kept, lambda b: b["texts"]), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

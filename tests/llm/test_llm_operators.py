@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -374,6 +375,119 @@ def test_large_and_small_hosts_and_names_inside_articles(spark):
     assert got == {i: f"Head {i}\nShare {i}" for i in range(40)}
 
 
+def random_page(rng, depth=0):
+    """Nested sections with words; some parts repeat, some are an article or named noise."""
+    if depth == 3 or rng.random() < 0.4:
+        return f"<p>{rng.choice(['same', 'word', 'text'])} {rng.randrange(4)}</p>"
+    name = rng.choice(["div", "div class=a", "section", "article", "nav", "div class=share"])
+    return f"<{name}>{''.join(random_page(rng, depth + 1) for _ in range(rng.randrange(1, 4)))}</{name.split()[0]}>"
+
+
+def plain_trees(pages):
+    """The style nodes of (host, html) rows, node by node in plain Python."""
+    shown = collections.defaultdict(collections.Counter)
+    main = collections.defaultdict(int)
+    for host, page in pages:
+        found, styles = html_extract.blocks(page)
+        for path, inside, children in styles:
+            shown[host, path, "P"][children] += 1
+            main[host, path] = max(main[host, path], inside)
+        for path, _, said in found:
+            shown[host, path, "C"][said] += 1
+
+    def entropy(counts):
+        m = sum(counts.values())
+        return (-sum(n / m * math.log(n / m) for n in counts.values()) / math.log(m) if m > 1 else 1.0), m
+
+    pool = collections.defaultdict(collections.Counter)
+    for (_, path, kind), counts in shown.items():
+        pool[path, kind].update(counts)
+    h = {}
+    for (host, path, kind), counts in shown.items():
+        own, m = entropy(counts)
+        all_, n = entropy(pool[path, kind])
+        all_ = ((n - 1) * all_ + 2) / (n - 1 + 2)
+        h[host, path, kind] = ((m - 1) * own + 16 * all_) / (m - 1 + 16), m
+    out = {}
+    for host, path in main:
+        below = [k for k in h if k[0] == host and (k[1] + "/").startswith(path + "/")]
+        words = [h[k] for k in below if k[2] == "C"]
+        out[host, path] = (
+            max(h[k][0] for k in below if k[2] == "P"),
+            h[host, path, "P"][0],
+            sum(e * m for e, m in words) / sum(m for _, m in words) if words else None,
+            any(main[k[:2]] for k in below if k[2] == "P"),
+            main[host, path] == 2,
+        )
+    return out
+
+
+def plain_low(trees):
+    """The low branches, branch by branch."""
+    low = {}
+    for (host, path), (form, _, words, holds, inside) in trees.items():
+        if not path:
+            continue
+        parent = path.rsplit("/", 1)[0]
+        family = [v for (at, p), v in trees.items() if at == host and p and p.rsplit("/", 1)[0] == parent]
+        best, most = max(v[0] for v in family), max((v[2] for v in family if v[2] is not None), default=None)
+        if words is not None and words < 0.2 * most and (inside or not holds):
+            low[host, path] = "words"
+        elif trees[host, parent][1] < 0.5 * best and form < 0.5 * best and not holds and not inside:
+            low[host, path] = "form"
+    return low
+
+
+def test_style_trees_equal_plain_ones(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, f"http://{rng.choice('aab')}.x/{i}", "".join(random_page(rng) for _ in range(rng.randrange(5)))) for i in range(120)]
+    rows += [(200 + i, "http://c.x/", "<div class=box><p>Same words</p></div><div class=text>" + f"<p>Story {i}</p>" * (i % 7) + "</div>") for i in range(40)]
+    rows += [(300 + i, "http://d.x/", f"<body><div class=menu><p>Go {i}</p></div><div class=text>" + f"<p>Tale {i}</p>" * (i % 7) + "</div></body>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = html_extract.parsed(df).cache()
+    trees = html_extract.style_trees(pages).cache()
+    plain = plain_trees([(url.split("/")[2], page) for _, url, page in rows])
+    got = {(r["host"], r["path"]): r for r in trees.collect()}
+    assert got.keys() == plain.keys()
+    for key, want in plain.items():
+        have = got[key]
+        assert [have["form"], have["own"]] == pytest.approx(want[:2]) and (have["holds"], have["inside"]) == want[3:]
+        assert (have["words"] is None) == (want[2] is None) and (want[2] is None or have["words"] == pytest.approx(want[2]))
+    low = html_extract.low_branches(trees)
+    cut = plain_low(plain)
+    assert {(r["host"], r["path"]): r["why"] for r in low.collect()} == cut and set(cut.values()) == {"form", "words"}
+
+    def text(host, page):
+        found = [(p, said) for p, noise, said in html_extract.blocks(page)[0] if not noise]
+        kept = [said for p, said in found if not any((host, "/".join(p.split("/")[:n])) in cut for n in range(2, p.count("/") + 2))]
+        return "\n".join(kept or [said for _, said in found])
+
+    want = {i: text(url.split("/")[2], page) for i, url, page in rows}
+    for limit in (html_extract.LOOKUP, 0):  # cuts sent to the tasks, and joined by key
+        monkeypatch.setattr(html_extract, "LOOKUP", limit)
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == want
+
+
+def test_tree_without_names_tells_the_article_from_menus_and_adverts(spark):
+    def page(i):
+        menu = "".join(f"<li>Item {i + j}</li>" for j in range(6))
+        story = "".join(f"<p>Part {i} {j}</p>" for j in range(1 + i * 5 % 13))
+        return f"<body><div class=u><ul>{menu}</ul></div><div class=v>Buy {i}</div><div class=w><h1>Head {i}</h1>{story}</div><div class=x>End {i}</div></body>"
+
+    got = html_extract.extract(spark.createDataFrame([(i, "http://h.x/p", page(i)) for i in range(30)], "page_id long, url string, html string"))
+    want = {i: "\n".join([f"Head {i}", *(f"Part {i} {j}" for j in range(1 + i * 5 % 13))]) for i in range(30)}
+    assert {r["page_id"]: r["text"] for r in got.collect()} == want
+
+
+def test_names_inside_an_article_that_only_begin_like_noise_stay(spark):
+    page = (
+        "<article><h1>Head</h1><section class='related-work'><p>Earlier papers</p></section><div class='search-results'><p>Found</p></div>"
+        "<div class='related-posts'><p>More</p></div><div class='comment-list'><p>Nice</p></div><div class='comments'><p>Yes</p></div></article>"
+    )
+    got = html_extract.extract(spark.createDataFrame([(1, "http://h.x/p", page)], "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in got] == ["Head\nEarlier papers\nFound"]
+
+
 # op8
 
 
