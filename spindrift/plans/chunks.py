@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import nested
 from ..functions import text as tx
 from ..operators import chunking as ch
 from ..sources.readers import row_lines
@@ -161,3 +162,12 @@ def wn11_bigrams(t):
     rows = t("conversations").select("conv_id", "turn", "role", tx.tokens(F.col("text")).alias("w")).where(F.size("w") > 1)
     pairs = rows.select("conv_id", "turn", "role", F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p"))
     return pairs.groupBy("conv_id", "turn", "role").agg(F.count(F.lit(1)).alias("bigrams"))
+
+
+@query()
+def s4_json_pieces(t):
+    """Each document as a nested JSON text (its lines, and their sentences), cut into pieces that keep the structure."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.length(x).alias("n_chars"), F.split(x, "\\. ").alias("sentences")))
+    whole = F.to_json(F.struct("source", "lang", lines.alias("lines")))
+    pieces = t("documents").select("doc_id", F.posexplode(nested.json_pieces(whole, 400)).alias("piece_no", "content"))
+    return pieces.withColumn("n_chars", F.length("content"))
