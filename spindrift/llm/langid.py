@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 from .flatbytes import Hasher, flat, pieces, runs
 
-#: The model: hashed weights a label; the sample it is fitted on: documents a label, and of a document longer than so many characters
-#: the stretch of that length around its middle; passes.
+#: The model: hashed weights a label; the sample it is fitted on: windows a label and the characters of one; passes.
 BUCKETS, SAMPLE, SAMPLE_CHARS, PASSES = 1 << 18, 200, 6000, 6
 STEP = 64  # words of a block of the chain
 _LETTER = np.zeros(256, bool)
@@ -176,20 +175,23 @@ def train(texts: list[str], labels: list[int], n_labels: int) -> tuple[np.ndarra
 def fit(docs: DataFrame, learn: Column) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Train on a bounded sample of the rows where ``learn`` holds, lang and doc_id are given and the text has a letter.
 
-    The sample: of every label, ``SAMPLE`` documents in hash order, those of at most ``SAMPLE_CHARS`` characters first; of a longer one,
-    the ``SAMPLE_CHARS`` characters around its middle. Rows are chosen by their keys first; only the chosen texts come to the driver.
-    Of rows that share doc_id and lang, the one with the first text counts.
+    The sample: texts are cut into windows of ``SAMPLE_CHARS`` characters, and of every label ``SAMPLE`` windows are drawn in hash order,
+    so each part of a text has the same chance, however long the text is. Windows are chosen by their keys first; only the chosen
+    ones come to the driver. Of rows that share doc_id and lang, the one with the shortest, then the first text counts.
     """
     fine = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64(F.lit("langid"), "doc_id"), "doc_id"))
-    keys = fine.groupBy("doc_id", "lang").agg(F.min(F.length("text") > SAMPLE_CHARS).alias("long"))
-    chosen = materialize(keys.withColumn("at", rank).where(F.col("at") <= SAMPLE).select("doc_id", "lang"), "langid-sample")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("langid"), "doc_id", "part"), "doc_id", "part"))
+    keys = fine.groupBy("doc_id", "lang").agg(F.min(F.length("text")).alias("n"))
+    keys = keys.select("doc_id", "lang", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {SAMPLE_CHARS} as int)"))).alias("part"))
+    chosen = materialize(keys.withColumn("at", rank).where(F.col("at") <= SAMPLE).select("doc_id", "lang", "part"), "langid-sample")
     names = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0))
-    cut = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(F.substring("text", ((F.length("text") - SAMPLE_CHARS) / 2 + 1).cast("int"), F.lit(SAMPLE_CHARS)))
-    rows = fine.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # SAMPLE rows a label
-    rows = sorted(rows.select("doc_id", "lang", cut.alias("text")).collect(), key=lambda r: (r["doc_id"], r["lang"]))
+    window = F.substring("text", F.col("part") * SAMPLE_CHARS + 1, F.lit(SAMPLE_CHARS)).alias("text")
+    rows = fine.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # SAMPLE rows a label
+    rows = rows.select("doc_id", "lang", "part", F.length("text").alias("n"), window)
+    rows = rows.groupBy("doc_id", "lang", "part").agg(F.min(F.struct("n", "text")).alias("x"))
+    rows = sorted(rows.select("doc_id", "lang", "part", "x.text").collect(), key=lambda r: (r["doc_id"], r["lang"], r["part"]))
     return names, *train([r["text"] for r in rows], [names.index(r["lang"]) for r in rows], len(names))
 
 
