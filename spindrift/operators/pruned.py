@@ -112,6 +112,20 @@ def top_hits(queries: DataFrame, query: str, query_text: str, chunks: DataFrame,
     return score_pairs(pairs, terms, held, query, key)
 
 
+def all_pairs(queries: DataFrame, query: str, query_text: str, chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """(query, key, score, got, total): BM25 of every pair that shares a word, and the raw weight of the words it shares and of its query's.
+
+    Where words are few they are sent to the postings, so that a chunk's hits are summed up before they are shuffled.
+    """
+    terms, held = query_postings(queries, query, query_text, chunks, key, text)
+    terms = materialize(terms.select(query, "term", "idf", raw_term_weight(F.col("term")).alias("raw")), "search-terms")
+    totals = terms.groupBy(query).agg(F.sum("raw").alias("total"))
+    read = F.broadcast(terms) if terms.count() <= SENT else terms
+    found = held.where(F.col(key).isNotNull()).select(key, "term", "share").join(read, "term")
+    found = found.groupBy(query, key).agg(F.sum(F.col("idf") * F.col("share")).alias("score"), F.sum("raw").alias("got"))
+    return found.join(materialize(totals, "search-totals"), query)
+
+
 #: Dimensions of a text's vector.
 DIMENSIONS = 64
 

@@ -111,7 +111,7 @@ def top(scored: DataFrame, query: str, k: int, score: str = "score", tie: str =
 
 def rescale(scored: DataFrame, query: str, score: str, name: str) -> DataFrame:
     """Scores from 0 to 1 within each query; 0 where they don't differ."""
-    ends = scored.groupBy(query).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    ends = materialize(scored.groupBy(query).agg(F.min(score).alias("_low"), F.max(score).alias("_high")), "search-ends")
     scaled = F.when(F.col("_high") > F.col("_low"), (F.col(score) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
     return scored.join(ends, query).withColumn(name, scaled).drop("_low", "_high")
 

@@ -109,15 +109,23 @@ def m1_w7_best_fields(t):
 
 #: How many documents the first stage hands to the second: about 64, as whole pages of ten.
 _WINDOW = s.rerank_window(10)
-_SIM = rf"""WITH {_BASE}, w AS (SELECT item_id, term, {_WEIGHT} AS raw FROM q), tot AS (SELECT item_id, sum(raw) AS total FROM w GROUP BY item_id),
+_CUT = f" QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY bm DESC, doc_id) <= {_WINDOW}"
+
+
+def _sim_sql(cut=""):
+    return rf"""WITH {_BASE}, w AS (SELECT item_id, term, {_WEIGHT} AS raw FROM q), tot AS (SELECT item_id, sum(raw) AS total FROM w GROUP BY item_id),
 b0 AS (SELECT item_id, doc_id, round(sum({_BM25}), 6) AS bm FROM h GROUP BY ALL),
-b AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY bm DESC, doc_id) <= {_WINDOW}),
+b AS (SELECT * FROM b0{cut}),
 m AS (SELECT item_id, doc_id, sum(raw) AS got FROM w JOIN p USING (term) GROUP BY ALL),
 x AS (SELECT item_id, doc_id, bm, got / (total + 1e-9) AS tok, min(bm) OVER (PARTITION BY item_id) AS lo, max(bm) OVER (PARTITION BY item_id) AS hi FROM b JOIN m USING (item_id, doc_id) JOIN tot USING (item_id)),
 y AS (SELECT item_id, doc_id, round(tok, 6) AS term_similarity, round(CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0 END, 6) AS text_similarity FROM x),
 z AS (SELECT *, round(0.7 * term_similarity + 0.3 * text_similarity, 7) AS similarity FROM y)"""
 
 
+#: All pairs that share a word, and those of the first stage.
+_SIM, _SIM_WINDOW = _sim_sql(), _sim_sql(_CUT)
+
+
 def _window(t):
     """The first stage: each item's best documents by BM25, with their term similarity."""
     hits = pr.top_hits(t("benchmark"), "item_id", "text", t("documents"), "doc_id", "text", _WINDOW)
@@ -126,8 +134,15 @@ def _window(t):
     return both.select("item_id", "doc_id", "bm", F.round(F.col("got") / (F.col("total") + 1e-9), 6).alias("term_similarity"))
 
 
-def _hybrid(t):
-    both = s.rescale(materialize(_window(t), "search-window"), "item_id", "bm", "scaled")
+def _pairs(t):
+    """All pairs of an item and a document that share a word, with BM25 and term similarity."""
+    both = pr.all_pairs(t("benchmark"), "item_id", "text", t("documents"), "doc_id", "text")
+    return both.select("item_id", "doc_id", F.round("score", 6).alias("bm"), F.round(F.col("got") / (F.col("total") + 1e-9), 6).alias("term_similarity"))
+
+
+def _hybrid(t, pairs=_pairs):
+    """All pairs, or those of the first stage, with their similarity."""
+    both = s.rescale(materialize(pairs(t), "search-scores"), "item_id", "bm", "scaled")
     both = both.select("item_id", "doc_id", "term_similarity", F.round("scaled", 6).alias("text_similarity"))
     return both.withColumn("similarity", F.round(F.col("term_similarity") * 0.7 + F.col("text_similarity") * 0.3, 7))
 
@@ -154,13 +169,13 @@ def _retrieval(t):
     return ranked.select("item_id", "doc_id", "term_similarity", "vector_similarity", F.round("similarity", 7).alias("similarity"))
 
 
-@query(_SIM + _VEC + "SELECT item_id, doc_id, term_similarity, vector_similarity, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM z3 WHERE similarity >= 0.2 WINDOW w AS (PARTITION BY item_id ORDER BY similarity DESC, doc_id) QUALIFY row_number() OVER w <= 10")
+@query(_SIM_WINDOW + _VEC + "SELECT item_id, doc_id, term_similarity, vector_similarity, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM z3 WHERE similarity >= 0.2 WINDOW w AS (PARTITION BY item_id ORDER BY similarity DESC, doc_id) QUALIFY row_number() OVER w <= 10")
 def m10_m11_vector_rerank(t):
     """The first window of each item's hits ranked anew by vector and term similarity."""
     return s.top(_retrieval(t).where("similarity >= 0.2"), "item_id", 10, "similarity")
 
 
-@query(_SIM + _VEC + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank, count(*) OVER (PARTITION BY item_id) AS total FROM z3 WHERE similarity >= 0.2) SELECT item_id, doc_id, source, term_similarity, vector_similarity, similarity, CAST(rank AS INTEGER) AS rank, total FROM r JOIN documents USING (doc_id) WHERE rank <= 10")
+@query(_SIM_WINDOW + _VEC + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank, count(*) OVER (PARTITION BY item_id) AS total FROM z3 WHERE similarity >= 0.2) SELECT item_id, doc_id, source, term_similarity, vector_similarity, similarity, CAST(rank AS INTEGER) AS rank, total FROM r JOIN documents USING (doc_id) WHERE rank <= 10")
 def m14_hybrid_retrieval(t):
     """The flagship: a first stage by words, a second by words and vectors, a threshold, each item's first page and how many pass in the window."""
     hits = _retrieval(t).where("similarity >= 0.2").withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
@@ -170,24 +185,25 @@ def m14_hybrid_retrieval(t):
 
 @query(_SIM + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank, count(*) OVER (PARTITION BY item_id) AS total FROM z WHERE similarity >= 0.2) SELECT item_id, doc_id, similarity, CAST(rank AS INTEGER) AS rank, total FROM r WHERE rank BETWEEN 6 AND 10")
 def m14_second_page(t):
-    """The second page of five, with how many documents of the window pass the threshold."""
-    hits = _hybrid(t).where("similarity >= 0.2").withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    return s.top(hits, "item_id", 5, "similarity", page=2).select("item_id", "doc_id", "similarity", "rank", "total")
+    """The second page of five, with how many documents pass the threshold."""
+    hits = _hybrid(t).where("similarity >= 0.2")
+    totals = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
+    return s.top(hits, "item_id", 5, "similarity", page=2).join(totals, "item_id").select("item_id", "doc_id", "similarity", "rank", "total")
 
 
-@query(_SIM + ", r AS (SELECT item_id, doc_id FROM z WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) <= 10) SELECT item_id, source, count(*) AS hits FROM r JOIN documents USING (doc_id) GROUP BY ALL")
+@query(_SIM_WINDOW + ", r AS (SELECT item_id, doc_id FROM z WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) <= 10) SELECT item_id, source, count(*) AS hits FROM r JOIN documents USING (doc_id) GROUP BY ALL")
 def a1_page_facets(t):
     """How many of each item's first page come from each source."""
-    page = s.top(_hybrid(t).where("similarity >= 0.2"), "item_id", 10, "similarity")
+    page = s.top(_hybrid(t, _window).where("similarity >= 0.2"), "item_id", 10, "similarity")
     return s.facets(page.join(t("documents").select("doc_id", "source"), "doc_id"), "item_id", "source")
 
 
-@query(_SIM + """, r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM z),
+@query(_SIM_WINDOW + """, r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM z),
 u AS (SELECT item_id, doc_id, rank, dl, sum(dl) OVER (PARTITION BY item_id ORDER BY rank) AS used FROM r JOIN l USING (doc_id) WHERE rank <= 10)
 SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, dl AS tokens, CAST(used AS BIGINT) AS used FROM u WHERE used - dl <= 2000 * 0.97""")
 def m26_prompt_packing(t):
     """As many of each item's first hits as a budget of 2000 words holds."""
-    page = s.top(_hybrid(t), "item_id", 10, "similarity")
+    page = s.top(_hybrid(t, _window), "item_id", 10, "similarity")
     sized = t("documents").select("doc_id", tx.token_total(F.col("text")).alias("tokens"))
     return s.pack_budget(page.join(sized, "doc_id").select("item_id", "doc_id", "rank", "tokens"), "item_id", "rank", "tokens", 2000)
 
