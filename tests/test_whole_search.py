@@ -35,3 +35,8 @@ def test_second_page_counts_all_documents_that_pass(spark, tables):
     got = [r for r in found(spark, tables, "m14_second_page") if r["item_id"] == 1]
     assert [r["rank"] for r in sorted(got, key=lambda r: r["rank"])] == [6, 7, 8, 9, 10]
     assert all(r["doc_id"] >= LOUD and r["total"] == LOUD + PLAIN for r in got)
+
+
+def test_facets_are_of_the_best_of_all_hits(spark, tables):
+    got = {(r["item_id"], r["source"]): r["hits"] for r in found(spark, tables, "a1_page_facets")}
+    assert got == {(1, "plain"): 10, (2, "loud"): 10}
