@@ -140,9 +140,9 @@ def _pairs(t):
     return both.select("item_id", "doc_id", F.round("score", 6).alias("bm"), F.round(F.col("got") / (F.col("total") + 1e-9), 6).alias("term_similarity"))
 
 
-def _hybrid(t, pairs=_pairs):
-    """All pairs, or those of the first stage, with their similarity."""
-    both = s.rescale(materialize(pairs(t), "search-scores"), "item_id", "bm", "scaled")
+def _hybrid(t):
+    """All pairs with their similarity."""
+    both = s.rescale(materialize(_pairs(t), "search-scores"), "item_id", "bm", "scaled")
     both = both.select("item_id", "doc_id", "term_similarity", F.round("scaled", 6).alias("text_similarity"))
     return both.withColumn("similarity", F.round(F.col("term_similarity") * 0.7 + F.col("text_similarity") * 0.3, 7))
 
@@ -198,12 +198,12 @@ def a1_page_facets(t):
     return s.facets(page.join(t("documents").select("doc_id", "source"), "doc_id"), "item_id", "source")
 
 
-@query(_SIM_WINDOW + """, r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM z),
+@query(_SIM + """, r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM z),
 u AS (SELECT item_id, doc_id, rank, dl, sum(dl) OVER (PARTITION BY item_id ORDER BY rank) AS used FROM r JOIN l USING (doc_id) WHERE rank <= 10)
 SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, dl AS tokens, CAST(used AS BIGINT) AS used FROM u WHERE used - dl <= 2000 * 0.97""")
 def m26_prompt_packing(t):
     """As many of each item's first hits as a budget of 2000 words holds."""
-    page = s.top(_hybrid(t, _window), "item_id", 10, "similarity")
+    page = s.top(_hybrid(t), "item_id", 10, "similarity")
     sized = t("documents").select("doc_id", tx.token_total(F.col("text")).alias("tokens"))
     return s.pack_budget(page.join(sized, "doc_id").select("item_id", "doc_id", "rank", "tokens"), "item_id", "rank", "tokens", 2000)
 

@@ -40,3 +40,8 @@ def test_second_page_counts_all_documents_that_pass(spark, tables):
 def test_facets_are_of_the_best_of_all_hits(spark, tables):
     got = {(r["item_id"], r["source"]): r["hits"] for r in found(spark, tables, "a1_page_facets")}
     assert got == {(1, "plain"): 10, (2, "loud"): 10}
+
+
+def test_packing_takes_the_best_of_all_hits(spark, tables):
+    got = [r for r in found(spark, tables, "m26_prompt_packing") if r["item_id"] == 1]
+    assert len(got) == 10 and all(r["doc_id"] >= LOUD for r in got)
