@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import raw_term_weight, tokens
 from ..sources.scratch import materialize, spread_out
-from .search import query_postings
+from .search import query_postings, top
 
 #: Blocks of a word's postings; the share of a query's postings that is read first; the share of the threshold that levels may take then.
 BLOCKS, FIRST, MARGIN = 32, 0.3, 0.6
@@ -146,3 +146,41 @@ def sparse_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b
     near = pairs.join(dots, [a, b], "left").join(length(left, a), a, "left").join(length(right, b), b, "left")
     lengths = F.col(f"_{a}") * F.col(f"_{b}")
     return near.withColumn(name, F.when((lengths > 0) & F.col("_dot").isNotNull(), F.col("_dot") / lengths).otherwise(0.0)).drop("_dot", f"_{a}", f"_{b}")
+
+
+def dense_vectors(sparse: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name, name_length): ``hashed_vectors`` with a row for each text that has words, all dimensions in an array."""
+    at = lambda d: F.coalesce(F.sum(F.when(F.col("dim") == d, F.col("v"))), F.lit(0))
+    return sparse.groupBy(key).agg(F.array(*(at(d) for d in range(DIMENSIONS))).alias(name), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias(f"{name}_length"))
+
+
+def dense_cosine(a: str, b: str) -> Column:
+    """The cosine of two columns of ``dense_vectors``; 0 where one is missing or has no length."""
+    dot = F.expr(" + ".join(f"{a}[{d}] * {b}[{d}]" for d in range(DIMENSIONS)))
+    lengths = F.col(f"{a}_length") * F.col(f"{b}_length")
+    return F.when(lengths > 0, dot / lengths).otherwise(0.0)
+
+
+def mixed_survivors(scored: DataFrame, left: DataFrame, right: DataFrame, query: str, key: str, terms: str, k: int, weight: float = 0.3, first: int = 70) -> DataFrame:
+    """The rows of ``scored`` that can be among a query's ``k`` best by ``search.mix_similarity``, and some more, with vector_similarity to 6 digits.
+
+    ``left`` and ``right`` are the ``dense_vectors`` a and b of queries and chunks. No cosine exceeds 1. So the ``first`` best by ``terms``
+    give a threshold, their k-th best similarity, and only rows that reach it with a cosine of 1 are measured. All rows of a query are
+    measured if its first ones are fewer than ``k`` or have no cosine but 0, since then its similarity may be that of the terms alone.
+    """
+
+    def measured(rows: DataFrame) -> DataFrame:
+        near = rows.join(right, key, "left").join(F.broadcast(left) if few else left, query, "left")
+        return near.withColumn("vector_similarity", F.round(dense_cosine("a", "b"), 6)).select(*scored.columns, "vector_similarity")
+
+    few = left.count() <= SENT // DIMENSIONS
+    mixed = F.round(F.col("vector_similarity") * weight + F.col(terms) * (1 - weight), 7)
+    best = measured(top(scored, query, first, terms, key).drop("rank")).withColumn("_mixed", mixed)
+    nth = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_mixed"), key))
+    floors = best.withColumn("_nth", nth).groupBy(query).agg(
+        F.min(F.when(F.col("_nth") == k, F.col("_mixed"))).alias("_floor"), F.max(F.abs("vector_similarity")).alias("_near"), F.min(terms).alias("_least")
+    )
+    # the first rows are measured again with the others
+    least = F.least(F.col("_least"), (F.col("_floor") - ROUNDING - weight) / (1 - weight))
+    floors = materialize(floors.select(query, F.when((F.col("_near") > 0) & F.col("_floor").isNotNull(), least).alias("_least")), "search-floors")
+    return measured(scored.join(floors, query).where(F.col("_least").isNull() | (F.col(terms) >= F.col("_least"))).select(*scored.columns))

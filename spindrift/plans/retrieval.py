@@ -160,19 +160,26 @@ z3 AS (SELECT item_id, doc_id, term_similarity, vector_similarity, round(CASE WH
 """
 
 
+def _mixed(near):
+    ranked = s.mix_similarity(near, "item_id", "term_similarity")
+    return ranked.select("item_id", "doc_id", "term_similarity", "vector_similarity", F.round("similarity", 7).alias("similarity"))
+
+
 def _retrieval(t):
     """Both stages: the window ranked by term similarity and by the cosine of the texts' hashed word vectors."""
     first = materialize(_window(t), "search-window")
     docs = t("documents").join(first.select("doc_id").distinct(), "doc_id", "left_semi")
     near = pr.sparse_cosine(first, pr.hashed_vectors(t("benchmark"), "item_id", "text"), pr.hashed_vectors(docs, "doc_id", "text"), "item_id", "doc_id", "near")
-    ranked = s.mix_similarity(near.withColumn("vector_similarity", F.round("near", 6)), "item_id", "term_similarity")
-    return ranked.select("item_id", "doc_id", "term_similarity", "vector_similarity", F.round("similarity", 7).alias("similarity"))
+    return _mixed(near.withColumn("vector_similarity", F.round("near", 6)))
 
 
-@query(_SIM_WINDOW + _VEC + "SELECT item_id, doc_id, term_similarity, vector_similarity, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM z3 WHERE similarity >= 0.2 WINDOW w AS (PARTITION BY item_id ORDER BY similarity DESC, doc_id) QUALIFY row_number() OVER w <= 10")
+@query(_SIM + _VEC + "SELECT item_id, doc_id, term_similarity, vector_similarity, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM z3 WHERE similarity >= 0.2 WINDOW w AS (PARTITION BY item_id ORDER BY similarity DESC, doc_id) QUALIFY row_number() OVER w <= 10")
 def m10_m11_vector_rerank(t):
-    """The first window of each item's hits ranked anew by vector and term similarity."""
-    return s.top(_retrieval(t).where("similarity >= 0.2"), "item_id", 10, "similarity")
+    """All of each item's hits ranked by vector and term similarity."""
+    first = materialize(_pairs(t).select("item_id", "doc_id", "term_similarity"), "search-scores")
+    vectors = lambda table, key, name: materialize(pr.dense_vectors(pr.hashed_vectors(t(table), key, "text"), key, name), "search-vectors")
+    near = pr.mixed_survivors(first, vectors("benchmark", "item_id", "a"), vectors("documents", "doc_id", "b"), "item_id", "doc_id", "term_similarity", 10)
+    return s.top(_mixed(near).where("similarity >= 0.2"), "item_id", 10, "similarity")
 
 
 @query(_SIM_WINDOW + _VEC + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank, count(*) OVER (PARTITION BY item_id) AS total FROM z3 WHERE similarity >= 0.2) SELECT item_id, doc_id, source, term_similarity, vector_similarity, similarity, CAST(rank AS INTEGER) AS rank, total FROM r JOIN documents USING (doc_id) WHERE rank <= 10")
