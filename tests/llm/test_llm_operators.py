@@ -553,6 +553,83 @@ def test_fingerprints_of_short_texts_are_unbiased(spark, monkeypatch):
     assert abs(np.mean(gaps)) < 0.01
 
 
+_M64, _P = (1 << 64) - 1, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+
+def xxh64(x, seed, size):
+    """XXH64 of an integer of 4 or 8 bytes."""
+    turn = lambda v, n: ((v << n) | (v >> (64 - n))) & _M64
+    v = (seed + _P[4] + size) & _M64
+    if size == 8:
+        v = (turn(v ^ (turn(x * _P[1] & _M64, 31) * _P[0] & _M64), 27) * _P[0] + _P[3]) & _M64
+    else:
+        v = (turn(v ^ (x * _P[0] & _M64), 23) * _P[1] + _P[2]) & _M64
+    v = (v ^ (v >> 33)) * _P[1] & _M64
+    v = (v ^ (v >> 29)) * _P[2] & _M64
+    return v ^ (v >> 32)
+
+
+def plain_score(term, k, w):
+    """(score, mark) of one term of weight ``w`` in one coordinate."""
+    h = xxh64(k, xxh64(term, 42, 8), 4)
+    g = xxh64(h, 42, 8)
+    u1, u2 = ((x >> 32) + 0.5 for x in (g, h))
+    v3, v4 = (((h >> at & 0xFFFF) << 16 | g >> at & 0xFFFF) + 0.5 for at in (16, 0))
+    r, c = -math.log(u1 * u2 / 2**64), -math.log((1 - v3 / 2**32) * (1 - v4 / 2**32))
+    b = -math.log(u1 / 2**32) / r
+    t = math.floor(math.log(w) / r + b)
+    return c * math.exp(-r * (t - b + 1)), (g + t) & 0xFFFF
+
+
+def plain_fingerprint(terms):
+    least = (min((int(s**0.25 * 2**29), mark) for s, mark in (plain_score(term, k, w) for term, w in terms.items())) for k in range(fingerprint.COORDINATES))
+    return "".join(f"{mark:04X}" for _, mark in least)
+
+
+@pytest.fixture(scope="module")
+def varied(spark):
+    rng = random.Random(5)
+    sizes = [(1500, 3000), (900, 12), (1, 5), (30, 3), (400, 40), (0, 1), (64, 500), (1200, 1)]  # words, and how many are different
+    rows = [(i, " ".join(f"w{rng.randrange(kinds)}" for _ in range(n))) for i, (n, kinds) in enumerate(sizes)]
+    return spark.createDataFrame(rows, "doc_id long, text string").cache()
+
+
+def terms_of(df, text):
+    """Counted terms by doc_id."""
+    marked = fingerprint.with_terms(df, text, "x", 0).collect()
+    return {r["doc_id"]: collections.Counter((x & _M64) >> 1 for x in r["x"]) for r in marked}
+
+
+def test_fingerprints_equal_plain_sampling_of_all_terms(spark, varied):
+    texts = [r["text"] for r in varied.orderBy("doc_id").collect()]
+    edited = [(i, t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2]) for i, t in enumerate(texts)]
+    own, other = terms_of(varied, "text"), terms_of(spark.createDataFrame(edited, "doc_id long, text string"), "text")
+    for i, r in by_id(fingerprint.fingerprints(varied)).items():
+        assert r["fingerprint"] == plain_fingerprint(own[i]) and r["edited_fingerprint"] == plain_fingerprint(other[i])
+
+
+def test_coordinates_without_a_sample_below_the_limit_are_drawn_from_all_terms(varied, monkeypatch):
+    rows = lambda: sorted(fingerprint.fingerprints(varied).collect())
+    usual = rows()
+    for enough in (0.5, 3.0, 1e9):  # most coordinates have no sample below; one in 20; no term waits
+        monkeypatch.setattr(fingerprint, "ENOUGH", enough)
+        assert rows() == usual
+
+
+def test_few_terms_are_scored_and_none_is_missed(spark, varied):
+    terms = terms_of(varied, "text")
+    totals = {i: sum(c.values()) for i, c in terms.items()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    flat = [(i, signed(term), w, totals[i]) for i, c in terms.items() for term, w in c.items()]
+    weighted = spark.createDataFrame(flat, "doc_id long, term long, w long, n long")
+    kept = {(r["doc_id"], r["term"], r["k"]) for r in fingerprint.drawn(weighted, ["w"], ["n"]).collect()}
+    for i, term, w, n in flat:
+        for k in range(fingerprint.COORDINATES):
+            assert (i, term, k) in kept or plain_score(term & _M64, k, w)[0] >= fingerprint.ENOUGH / n
+    assert sum(i == 0 for i, _, _ in kept) < 0.05 * len(terms[0]) * fingerprint.COORDINATES
+    assert fingerprint.drawn(weighted, ["w"]).count() == len(flat) * fingerprint.COORDINATES
+
+
 # op10
 
 
