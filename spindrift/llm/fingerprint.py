@@ -145,27 +145,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     links = materialize(followers(keys, count), "fingerprint-links")
 
     parts = max(-(-total // PARTITION_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    held = rows.repartition(parts, *KEY)
-    held = held.dropDuplicates(KEY) if n > count else held
-    # who borrows from whom: the first of equal rows from the next text, the others from their own
-    lent = links.select("next.*", F.struct(*KEY).alias("to"), F.expr("int(n div 2)").alias("half"), F.lit(0).alias("again"))
-    if n > count:
-        lent = lent.unionByName(links.where("copies > 1").select(*KEY, F.struct(*KEY).alias("to"), F.expr("int(n div 2)").alias("half"), F.lit(1).alias("again")))
-    lent = held.join(lent, KEY).select("to.*", "again", F.expr("substring(text, 1, half)").alias("lent")).repartition(parts, *KEY)
-    both = held.join(lent, KEY).select(*KEY, "again", "text", F.expr("concat(substring(text, 1, length(text) - length(text) div 2), lent)").alias("edited"))
-
-    marked = with_terms(with_terms(both, "text", "x", 0), "edited", "y", 1)
     one, two = ["fingerprint", "edited_fingerprint"], ["n0", "n1"]
-    marked = marked.select(*KEY, "again", F.size("x").alias("n0"), F.size("y").alias("n1"), F.explode(F.concat("x", "y")).alias("x"))
-    marked = marked.select(*KEY, "again", *two, F.shiftrightunsigned("x", 1).alias("term"), F.col("x").bitwiseAND(F.lit(1)).alias("mark"))
-    weighted = marked.groupBy(*KEY, "again", *two, "term").agg(F.sum("mark").alias("w1"), F.count(F.lit(1)).alias("w0"))
-    weighted = weighted.select(*KEY, "again", *two, "term", F.expr("nullif(w0 - w1, 0)").alias(one[0]), F.expr("nullif(w1, 0)").alias(one[1]))
+
+    def paired(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """(KEY, again, text, edited) of the texts in ``links``."""
+        held = rows.repartition(parts, *KEY)
+        held = held.dropDuplicates(KEY) if n > count else held
+        # who borrows from whom: the first of equal rows from the next text, the others from their own
+        lent = links.select("next.*", F.struct(*KEY).alias("to"), F.expr("int(n div 2)").alias("half"), F.lit(0).alias("again"))
+        if n > count:
+            lent = lent.unionByName(links.where("copies > 1").select(*KEY, F.struct(*KEY).alias("to"), F.expr("int(n div 2)").alias("half"), F.lit(1).alias("again")))
+        lent = held.join(lent, KEY).select("to.*", "again", F.expr("substring(text, 1, half)").alias("lent")).repartition(parts, *KEY)
+        return held.join(lent, KEY).select(*KEY, "again", "text", F.expr("concat(substring(text, 1, length(text) - length(text) div 2), lent)").alias("edited"))
+
+    def counted(both: DataFrame) -> DataFrame:
+        """(KEY, again, n0, n1, term, weights in both texts), n0 and n1 being the sums of weights."""
+        marked = with_terms(with_terms(both, "text", "x", 0), "edited", "y", 1)
+        marked = marked.select(*KEY, "again", F.size("x").alias("n0"), F.size("y").alias("n1"), F.explode(F.concat("x", "y")).alias("x"))
+        marked = marked.select(*KEY, "again", *two, F.shiftrightunsigned("x", 1).alias("term"), F.col("x").bitwiseAND(F.lit(1)).alias("mark"))
+        weighted = marked.groupBy(*KEY, "again", *two, "term").agg(F.sum("mark").alias("w1"), F.count(F.lit(1)).alias("w0"))
+        return weighted.select(*KEY, "again", *two, "term", F.expr("nullif(w0 - w1, 0)").alias(one[0]), F.expr("nullif(w1, 0)").alias(one[1]))
+
+    both = paired(rows, links)
     hashes = both.select(*KEY, "again", F.sha2("edited", 256).alias("edited_sha256"))
-    found = materialize(samples(weighted, [*KEY, "again"], one, two).join(hashes, [*KEY, "again"], "right"), "fingerprint-found")
+    found = materialize(samples(counted(both), [*KEY, "again"], one, two).join(hashes, [*KEY, "again"], "right"), "fingerprint-found")
     lacking = found.where(F.col(one[0]).isNull() | F.col(one[1]).isNull())
     if not lacking.isEmpty():
-        whole = samples(weighted.join(lacking.select(*KEY, "again"), [*KEY, "again"], "semi"), [*KEY, "again"], one)
-        whole = whole.join(lacking.drop(*one), [*KEY, "again"]).select(found.columns)
+        few = materialize(links.join(lacking.select(*KEY).distinct(), KEY, "semi"), "fingerprint-few")
+        # written, so that its size is known: texts are only shuffled for it if it is large
+        ends = materialize(few.select(*KEY).union(few.select("next.*")).distinct(), "fingerprint-ends")
+        whole = samples(counted(paired(rows.join(ends, KEY, "semi"), few)), [*KEY, "again"], one)
+        whole = lacking.drop(*one).join(whole, [*KEY, "again"]).select(found.columns)
         found = found.where(F.col(one[0]).isNotNull() & F.col(one[1]).isNotNull()).union(materialize(whole, "fingerprint-whole"))
 
     following = links.select(*KEY, "copies", "n", "next").join(
