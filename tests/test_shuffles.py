@@ -34,3 +34,20 @@ def test_sums_over_paths_list_no_path(spark):
     assert {(r["p"], r["s"]): round(r["sum"], 9) for r in g.last_edge_sums(edges, "p", "v").collect()} == {k: round(v, 9) for k, v in want.items()}
     plan = registry.QUERIES["m25_graph_retrieval"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "part" in plan and "array_append" not in plan
+
+
+def test_shared_nodes_count_each_pair_once(spark):
+    from collections import Counter
+
+    from spindrift import registry
+    from spindrift.operators import graph as g
+
+    edges = [(s, p) for s in range(30) for p in range(8) if (s * 7 + p) % 3] + [(s, 100) for s in range(30)] + [(5, 200)]
+    want = Counter((a, b) for a, p in edges for b, q in edges if p == q and a < b)
+    rows = spark.createDataFrame(edges, "s long, p long")
+    for most in (4, 1024):  # all nodes in slices, and none
+        got = g.shared_nodes(rows, "s", "p", most).collect()
+        assert {(r["a"], r["b"]): r["n"] for r in got} == want and len(got) == len(want)
+    frame = registry.QUERIES["g13_j15_paths"](spark, "/root/testdata/sf0.001")
+    assert any(k.startswith("rangepartitioning(part") for k in shuffles(frame))
+    assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
