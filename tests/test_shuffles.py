@@ -51,3 +51,36 @@ def test_shared_nodes_count_each_pair_once(spark):
     frame = registry.QUERIES["g13_j15_paths"](spark, "/root/testdata/sf0.001")
     assert any(k.startswith("rangepartitioning(part") for k in shuffles(frame))
     assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_give_each_groups_best(spark, monkeypatch):
+    from itertools import groupby
+
+    import numpy as np
+
+    from spindrift import registry
+    from spindrift.operators import blocks
+
+    rng = np.random.default_rng(5)
+    data = [(i, i % 3, [float(x) for x in rng.integers(-4, 5, 6)]) for i in range(90)]
+    data += [(i, 1, data[4][2]) for i in range(90, 99)] + [(99, None, data[0][2]), (100, 1, None), (101, 1, [0.0] * 6)]
+    rows = spark.createDataFrame(data, "k long, label int, v array<double>").withColumn("doc", F.col("k") % 4)
+    rows = rows.withColumn("unit", blocks.weighted_unit([(F.slice("v", 1, 2), 2, 0.4), (F.slice("v", 3, 4), 4, 0.6)])).drop("v")
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) if np.any(a) and np.any(b) else 0.0
+    score = lambda a, b: round(0.4 * cos(a[:2], b[:2]) + 0.6 * cos(a[2:], b[2:]), 6)
+    vector = {k: np.array(v if v else [0.0] * 6) for k, _, v in data}
+    want = []
+    for q, label, _ in data:
+        if q % 5 == 0 and label is not None:
+            near = sorted((k % 4, -score(vector[q], vector[k]), k) for k, other, _ in data if other == label and k != q)
+            want += [(q, k, d, -s) for d, g in groupby(near, key=lambda r: r[0]) for _, s, k in list(g)[:2]]
+    for size in (7, 1000):
+        monkeypatch.setattr(blocks, "ROWS", size)
+        monkeypatch.setattr(blocks, "ASKED", size - 3)
+        found = blocks.best_of_groups(rows.where("k % 5 = 0").withColumnRenamed("k", "q"), rows, "q", "k", "doc", "label", 2)
+        got = sorted(((r["q"], r["doc"], -r["score"], r["k"]) for r in found.collect()))
+        best = [(q, k, d, -s) for (q, d), g in groupby(got, key=lambda r: r[:2]) for _, _, s, k in list(g)[:2]]
+        assert [(q, k, d) for q, k, d, _ in best] == [x[:3] for x in sorted(want, key=lambda r: (r[0], r[2], -r[3], r[1]))]
+        assert max(abs(a[3] - b[3]) for a, b in zip(best, sorted(want, key=lambda r: (r[0], r[2], -r[3], r[1])), strict=True)) < 1.5e-6
+    plan = registry.QUERIES["m21_image_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" in plan and not re.search(r"Join.*query_id", plan)
