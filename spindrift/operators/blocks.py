@@ -15,20 +15,21 @@ from ..functions.vectors import norm
 from ..sources.scratch import materialize, spread_out
 from .pruned import SENT
 
-#: Rows and queries of a block, and queries that are measured at once.
-ROWS, ASKED, AT_ONCE = 2048, 4096, 256
+#: Rows and queries of a block, and queries that are measured at once; blocks of a filter value of few rows, and how small they may be.
+ROWS, ASKED, AT_ONCE, SPREAD, SMALL = 8192, 4096, 256, 4, 512
 
 
-def weighted_unit(parts: list[tuple[Column, int, float]]) -> Column:
-    """Vectors (column, dimensions, weight) end to end, each at the length of its weight's root: the product of two is the weighted sum of
-    the parts' cosines. A part that is null, holds null, has no length or not its dimensions counts 0."""
+def weighted_units(rows: DataFrame, parts: list[tuple[Column, int, float]]) -> DataFrame:
+    """``rows`` with ``unit``: vectors (column, dimensions, weight) end to end, each at the length of its weight's root, so that the product
+    of two units is the weighted sum of the parts' cosines. A part that is null, holds null, has no length or not its dimensions counts 0."""
+    lengths = rows.withColumns({f"_v{i}": p[0].cast("array<double>") for i, p in enumerate(parts)})
+    lengths = lengths.withColumns({f"_n{i}": norm(F.col(f"_v{i}")) for i in range(len(parts))})
 
-    def scaled(vector: Column, width: int, weight: float) -> Column:
-        v = vector.cast("array<double>")
-        length = norm(v)
+    def scaled(i: int, width: int, weight: float) -> Column:
+        v, length = F.col(f"_v{i}"), F.col(f"_n{i}")
         return F.when((F.size(v) == width) & (length > 0), F.transform(v, lambda x: x / length * weight**0.5)).otherwise(F.array_repeat(F.lit(0.0), width))
 
-    return F.concat(*(scaled(*p) for p in parts))
+    return lengths.select(*rows.columns, F.concat(*(scaled(i, width, weight) for i, (_, width, weight) in enumerate(parts))).alias("unit"))
 
 
 def _best(each: int, names: list[str]):
@@ -70,10 +71,10 @@ def best_of_groups(queries: DataFrame, rows: DataFrame, query: str, key: str, gr
     rows = rows.dropna(subset=[key, within]).select(F.col(key).cast("long").alias("_key"), F.col(group).cast("long").alias("_group"), F.col(within).alias("_in"), "unit")
     # a number for each, so that equal keys don't meet in one block
     queries = materialize(spread_out(queries).withColumn("_at", F.monotonically_increasing_id()), "block-queries")
-    rows = materialize(spread_out(rows).withColumn("_at", F.monotonically_increasing_id()), "block-rows")
-    blocks = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    rows = spread_out(rows).withColumn("_at", F.monotonically_increasing_id())
+    blocks = lambda n, most: F.least(F.ceil(F.col(n) / SMALL), F.greatest(F.lit(SPREAD), F.ceil(F.col(n) / most))).cast("int")
     sizes = rows.groupBy("_in").agg(F.count(F.lit(1)).alias("_n")).join(queries.groupBy("_in").agg(F.count(F.lit(1)).alias("_q")), "_in")
-    sizes = materialize(sizes.select("_in", blocks("_n", ROWS).alias("_rows"), blocks("_q", ASKED).alias("_asked")), "block-sizes")
+    sizes = materialize(sizes.select("_in", blocks("_n", ROWS).alias("_rows"), F.ceil(F.col("_q") / ASKED).cast("int").alias("_asked")), "block-sizes")
     sizes = F.broadcast(sizes) if sizes.count() <= SENT else sizes
     own = lambda n: F.pmod(F.xxhash64("_at"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -105,8 +105,8 @@ d AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc ORDER BY score DES
 SELECT query_id, vec_id, doc, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM d WHERE i <= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 6""")
 def m21_image_candidates(t):
     """Image and caption cosines mixed; two of each document, then six of each query."""
-    unit = bl.weighted_unit([(F.slice("embedding", 1, 32), 32, 0.4), (F.slice("embedding", 33, 32), 32, 0.6)])
-    v = t("embeddings").select("vec_id", "label", (F.col("vec_id") % 7).alias("doc"), unit.alias("unit"))
+    v = bl.weighted_units(t("embeddings"), [(F.slice("embedding", 1, 32), 32, 0.4), (F.slice("embedding", 33, 32), 32, 0.6)])
+    v = v.select("vec_id", "label", (F.col("vec_id") % 7).alias("doc"), "unit")
     x = bl.best_of_groups(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v, "query_id", "vec_id", "doc", "label", 2)
     first = Window.partitionBy("query_id", "doc").orderBy(F.desc("score"), "vec_id")
     return s.top(x.withColumn("i", F.row_number().over(first)).where("i <= 2").drop("i"), "query_id", 6, "score", "vec_id")

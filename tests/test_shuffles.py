@@ -65,7 +65,7 @@ def test_blocks_give_each_groups_best(spark, monkeypatch):
     data = [(i, i % 3, [float(x) for x in rng.integers(-4, 5, 6)]) for i in range(90)]
     data += [(i, 1, data[4][2]) for i in range(90, 99)] + [(99, None, data[0][2]), (100, 1, None), (101, 1, [0.0] * 6)]
     rows = spark.createDataFrame(data, "k long, label int, v array<double>").withColumn("doc", F.col("k") % 4)
-    rows = rows.withColumn("unit", blocks.weighted_unit([(F.slice("v", 1, 2), 2, 0.4), (F.slice("v", 3, 4), 4, 0.6)])).drop("v")
+    rows = blocks.weighted_units(rows, [(F.slice("v", 1, 2), 2, 0.4), (F.slice("v", 3, 4), 4, 0.6)]).drop("v")
     cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) if np.any(a) and np.any(b) else 0.0
     score = lambda a, b: round(0.4 * cos(a[:2], b[:2]) + 0.6 * cos(a[2:], b[2:]), 6)
     vector = {k: np.array(v if v else [0.0] * 6) for k, _, v in data}
@@ -76,6 +76,7 @@ def test_blocks_give_each_groups_best(spark, monkeypatch):
             want += [(q, k, d, -s) for d, g in groupby(near, key=lambda r: r[0]) for _, s, k in list(g)[:2]]
     for size in (7, 1000):
         monkeypatch.setattr(blocks, "ROWS", size)
+        monkeypatch.setattr(blocks, "SMALL", size)
         monkeypatch.setattr(blocks, "ASKED", size - 3)
         found = blocks.best_of_groups(rows.where("k % 5 = 0").withColumnRenamed("k", "q"), rows, "q", "k", "doc", "label", 2)
         got = sorted(((r["q"], r["doc"], -r["score"], r["k"]) for r in found.collect()))
